@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.llm import mixing
-
-_QUERIES = {"op10_mixing": mixing.op10_mixing}
-_SQL = {"op10_mixing": mixing.ORACLE_SQL}
+from lamella.llm import mixing, quality_rules, url_filter
+
+_QUERIES = {
+    "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op10_mixing": mixing.op10_mixing,
+}
+_SQL = {"op3_quality_rules": quality_rules.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

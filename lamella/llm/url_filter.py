@@ -10,15 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.common import map_batches, prepare
-
-#: 64-bit words of one filter block (512 bits, a cache line) and bits set in it for one key.
-BLOCK_WORDS, KEY_BITS = 8, 8
+from lamella.llm.bloom import bloom_filter, probe
+from lamella.llm.common import prepare
 
 
 class Rule(NamedTuple):
@@ -59,51 +55,6 @@ def _longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return none if out is None else out.otherwise(none)
 
 
-def _block_and_bits(blocks: int) -> tuple[Column, list[Column]]:
-    """Block number and the eight words that a key sets, one bit in each, from two hashes of ``key``."""
-    first, second = F.xxhash64("key"), F.xxhash64("key", F.lit(1))
-    words = [F.call_function("shiftleft", F.lit(1).cast("long"), (F.shiftrightunsigned(second, 6 * i) % 64).cast("int")) for i in range(BLOCK_WORDS)]
-    return F.pmod(first, F.lit(blocks)), words
-
-
-def bloom_filter(listed: DataFrame, n: int, bits_per_key: int, most_bytes: int) -> np.ndarray:
-    """Filter words as an array (blocks, 8), of ``most_bytes`` at most whatever the list's size.
-
-    Blocks are filled by an aggregation on the executors; only the words of
-    non-empty blocks come to the driver.
-    """
-    blocks = max(1, min(most_bytes // (8 * BLOCK_WORDS), -(-n * bits_per_key // (64 * BLOCK_WORDS))))
-    block, words = _block_and_bits(blocks)
-    rows = listed.select(block.alias("block"), *(w.alias(f"w{i}") for i, w in enumerate(words)))
-    filled = rows.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(BLOCK_WORDS))).toArrow()
-    out = np.zeros((blocks, BLOCK_WORDS), np.uint64)
-    if filled.num_rows:
-        at = filled.column("block").to_numpy()
-        for i in range(BLOCK_WORDS):
-            out[at, i] = filled.column(f"w{i}").to_numpy().view(np.uint64)
-    return out
-
-
-def possible_hits(urls: DataFrame, table: np.ndarray) -> DataFrame:
-    """``urls`` (with a ``key``) plus ``maybe``: false means surely not in the list."""
-    spark = urls.sparkSession
-    held = spark.sparkContext.broadcast(table)
-    block, words = _block_and_bits(len(table))
-    probed = urls.withColumns({"block": block} | {f"w{i}": w for i, w in enumerate(words)})
-    kept = urls.columns
-
-    def probe(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lines = held.value[batch.column("block").to_numpy(zero_copy_only=False)]
-        maybe = np.ones(batch.num_rows, bool)
-        for i in range(BLOCK_WORDS):
-            w = batch.column(f"w{i}").to_numpy(zero_copy_only=False).view(np.uint64)
-            maybe &= lines[:, i] & w == w
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(maybe)], [*kept, "maybe"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema) + ", maybe boolean"
-    return map_batches(probed, probe, schema)
-
-
 def judge(
     pages: DataFrame,
     listed: DataFrame,
@@ -132,11 +83,11 @@ def judge(
     spark = pages.sparkSession
     prepare(spark)
     keys = listed.select(canonical(F.col(listed_col)).alias("key")).filter("key <> ''").distinct()
-    table = bloom_filter(keys, keys.count(), bits_per_key, most_bytes)
+    table = bloom_filter(keys, "key", keys.count(), bits_per_key, most_bytes)
     url = F.col(url_col)
     parted = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("key"))
     ruled = parted.withColumn("found", _longest_rule(F.col("host"), F.col("path"), rules)).select("id", "host", "path", "key", "found.rule", "found.verdict")
-    probed = possible_hits(ruled, table).withColumn("probe", F.when(F.col("maybe") & F.col("rule").isNull(), F.col("key")))
+    probed = probe(ruled, "key", table).withColumn("probe", F.when(F.col("maybe") & F.col("rule").isNull(), F.col("key")))
     marked = keys.select(F.col("key").alias("hit"))
     # Rows that need no look-up join nothing and keep their place: they go round the join.
     near = probed.filter("probe is not null").join(marked, F.col("probe") == F.col("hit"), "left")

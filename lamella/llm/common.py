@@ -53,7 +53,7 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a table's size; used to choose numbers of partitions only."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def parts_for(df: DataFrame, bytes_each: int, least: int = 1, most: int = 1 << 20) -> int:

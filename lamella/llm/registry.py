@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.llm import mixing, ngram_jaccard, quality_rules, token_counts, url_filter
+from lamella.llm import lm_scoring, mixing, ngram_jaccard, quality_rules, token_counts, url_filter
 
 _QUERIES = {
+    "op1_lm_scoring": lm_scoring.op1_lm_scoring,
     "op2_ngram_jaccard": ngram_jaccard.op2_ngram_jaccard,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op6_url_filter": url_filter.op6_url_filter,

@@ -10,9 +10,10 @@ similar sets of neighbouring bands share at least one, whatever their texts.
 Sets, not documents, are joined: copies are one node. Signatures travel packed
 (see ``packed``) and each map task keeps one node per signature, so a group of
 near copies of any size reaches a shard as one node per task. Within a bucket
-all nodes are compared with the least one; only buckets that the links found
-so far leave in several components are compared pair by pair, across
-components.
+all nodes are compared with the least one; where the links found so far leave
+a bucket in several components, pairs across components are searched by how
+their members differ from a common centre (see ``_cross_pairs``), which loses
+no link and doesn't list the pairs of a group.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamella.llm.bloom import bloom_filter, probe
@@ -34,7 +35,9 @@ from lamella.llm.packed import pack_sorted, shard_slices, unpack_sorted
 #: Slot pairs of a part that make up its signatures.
 SLOT_PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Signatures that a map task gathers before it sends them, and bytes of input per shard.
-FLUSH, SHARD_BYTES = 1 << 21, 64 << 20
+FLUSH, SHARD_BYTES = 1 << 20, 64 << 20
+#: Width of the classes of distances from a centre.
+CLASS = 4
 _ODD = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _U32 = np.uint64(32)
 
@@ -43,7 +46,7 @@ class WordHashes(dict):
     """64-bit hashes of words, each computed once."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 18:
             self.clear()
         self[word] = out = xxhash.xxh3_64_intdigest(word)
         return out
@@ -247,6 +250,80 @@ def _texts_of(nodes: DataFrame, owned: DataFrame, docs: DataFrame, size: int) ->
     return materialise(map_batches(found, own, "node long, text string").dropDuplicates(["node"]), "jaccard-texts")
 
 
+def _deltas(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(family, node, label, n, most, delta): how each member's set differs from its family's centre.
+
+    ``most`` is the largest difference that the member can have from a set
+    similar to it.
+    """
+    both = (
+        members.join(texts.select("node", F.col("text").alias("text_x")), "node")
+        .join(texts.select(F.col("node").alias("centre"), F.col("text").alias("text_c")), "centre")
+        .select("family", "node", "label", "central", "text_x", "text_c")
+    )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            rows = batch.select(["text_x", "text_c"]).to_pylist()
+            sets = [shingle_set(r["text_x"], size, hashes) for r in rows]
+            deltas = [np.setxor1d(x, shingle_set(r["text_c"], size, hashes), assume_unique=True).view(np.int64) for x, r in zip(sets, rows, strict=True)]
+            n = pa.array([len(x) for x in sets], pa.int64())
+            most = pa.array([len(x) * (100 - percent) // percent for x in sets], pa.int64())
+            kept = [batch.column(c) for c in ("family", "node", "label", "central")]
+            yield pa.RecordBatch.from_arrays([*kept, n, most, pa.array(deltas, pa.list_(pa.int64()))], ["family", "node", "label", "central", "n", "most", "delta"])
+
+    return both.mapInArrow(run, "family long, node long, label long, central boolean, n long, most long, delta array<long>")
+
+
+def _cross_pairs(buckets: DataFrame, pairs: DataFrame, links: DataFrame, roots: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Untested pairs (a, b) of different components that share a bucket and can be similar.
+
+    Buckets whose members are in several components form families. A family
+    has a centre, and x and y differ in d(x) + d(y) - 2 c elements, where d is
+    the size of a member's difference from the centre and c what these
+    differences have in common. So pairs that are similar have a c of at least
+    (d(x) + d(y) - most) / 2, and need a common element among the rarest of
+    their differences unless both are next to the centre. Elements that only
+    one member has are in no overlap. This leaves few pairs of a family of
+    near copies, where comparing all would grow with its square.
+    """
+    label = F.coalesce("root", "node")
+    labelled = buckets.join(roots, "node", "left").select("sig", "node", "pivot", label.alias("label"))
+    mixed = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
+    open_ = materialise(labelled.join(mixed, "sig").select("node", "pivot", "label").distinct(), "jaccard-open")
+    families = materialise(connected_components(open_.select(F.col("node").alias("a"), F.col("pivot").alias("b"))), "jaccard-families")
+    family = F.coalesce("root", "node").alias("family")
+    members = open_.select("node", "label").distinct().join(families, "node", "left").select("node", "label", family)
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    ranked = members.join(degree, "node", "left").fillna(0, ["links"])
+    centres = ranked.groupBy("family").agg(F.max_by(F.struct("node", "label"), F.struct("links", "node")).alias("c"))
+    members = members.join(centres, "family").select("family", "node", "label", F.col("c.node").alias("centre"), (F.col("label") == F.col("c.label")).alias("central"))
+    found = materialise(_deltas(members, texts, size, percent).withColumn("d", F.size("delta").cast("long")), "jaccard-deltas")
+
+    elements = found.select("family", "node", F.explode("delta").alias("e"))
+    shared = elements.groupBy("family", "e").agg(F.count("*").alias("times")).filter("times > 1")
+    rarest = Window.partitionBy("family", "node").orderBy("times", "e")
+    numbered = elements.join(shared, ["family", "e"]).withColumn("place", F.row_number().over(rarest)).withColumn("common", F.count("*").over(Window.partitionBy("family", "node")))
+    facts = found.select("family", "node", "label", "n", "most", "d")
+    # A partner whose d is in class t (t * CLASS and up) has at least (d + t * CLASS - most) / 2 elements in common,
+    # so an element at this place has to be looked up for classes up to the one where it leaves the prefix.
+    last = f"floor((2 * (common - place + 1) - d + most) / {CLASS})"
+    ends = numbered.join(facts, ["family", "node"]).selectExpr(
+        "*", f"d div {CLASS} as own", f"greatest(d - most, 0L) div {CLASS} as lo", f"least((d + most) div {CLASS}, {last}) as hi"
+    )
+    prefix = ends.filter("lo <= hi").withColumn("target", F.explode(F.sequence("lo", "hi"))).drop("place", "times", "lo", "hi")
+    prefix = materialise(prefix, "jaccard-prefix")
+    can = f"l.label <> r.label and least(l.n, r.n) * 100 >= greatest(l.n, r.n) * {percent} and abs(l.d - r.d) <= least(l.most, r.most)"
+    overlap = "l.node < r.node and l.d + r.d - least(l.most, r.most) <= 2 * least(l.common, r.common)"
+    keys = "l.family = r.family and l.e = r.e and l.own = r.target and l.target = r.own"
+    far = prefix.alias("l").join(prefix.alias("r"), F.expr(f"{keys} and {overlap} and {can}"))
+    near = found.filter("d <= most").select("family", "node", "label", "central", "n", "most", "d")
+    next_to = near.filter("not central").alias("l").join(near.alias("r"), F.expr(f"l.family = r.family and l.d + r.d <= least(l.most, r.most) and {can}"))
+    both = [x.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")) for x in (far, next_to)]
+    return both[0].unionByName(both[1]).distinct().join(pairs, ["a", "b"], "left_anti")
+
+
 def join_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -274,7 +351,7 @@ def join_components(
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], ["id", "n", "node"])
 
     owned = materialise(rows.mapInArrow(identify, f"id {rows.schema['id'].dataType.simpleString()}, n long, node long"), "jaccard-nodes")
-    shards = parts_for(rows, SHARD_BYTES, least=48)
+    shards = parts_for(rows, SHARD_BYTES, least=96)
     buckets = materialise(_buckets(rows.filter("id is not null"), shingle_words, bands, shards), "jaccard-buckets")
     pairs = buckets.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     pairs = materialise(pairs, "jaccard-pairs")
@@ -282,19 +359,7 @@ def join_components(
     links = materialise(_verified(pairs, texts, shingle_words, percent), "jaccard-links")
     roots = materialise(connected_components(links), "jaccard-roots")
 
-    # Buckets that are still in several components: members of different components are compared.
-    label = F.coalesce("root", "node")
-    labelled = buckets.join(roots, "node", "left").select("sig", "node", "pivot", label.alias("label"))
-    members = labelled.select("sig", "node", "label").distinct()
-    mixed = members.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
-    open_ = materialise(members.join(mixed, "sig"), "jaccard-open")
-    left, right = open_.alias("l"), open_.alias("r")
-    cross = (
-        left.join(right, F.expr("l.sig = r.sig and l.label < r.label"))
-        .select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
+    cross = materialise(_cross_pairs(buckets, pairs, links, roots, texts, shingle_words, percent), "jaccard-cross")
     more = materialise(_verified(cross, texts, shingle_words, percent), "jaccard-more")
     if not more.isEmpty():
         roots = materialise(connected_components(links.unionByName(more)), "jaccard-roots")

@@ -83,17 +83,36 @@ def measure_text(text: str | None) -> tuple[int, ...]:
     )
 
 
+def _measured(rows: DataFrame, text_col: str, carried: Sequence[str]) -> DataFrame:
+    """``carried`` columns and the measures of every whole text; a struct column is carried as it is."""
+    prepare(rows.sparkSession)
+    names = [*carried, *(x.split()[0] for x in MEASURES.split(", "))]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        table = np.array([measure_text(x) for x in batch.column(text_col).to_pylist()], np.int64).reshape(batch.num_rows, 8)
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *(pa.array(table[:, i]) for i in range(8))], names)
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carried)
+    return map_batches(rows, run, f"{schema}, {MEASURES}").withColumns(measure_columns())
+
+
 def measured(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
     """id, stratum and the measures of every whole text."""
-    prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("text"))
-    names = ["id", "stratum", *(x.split()[0] for x in MEASURES.split(", "))]
+    return _measured(rows, "text", ["id", "stratum"])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        table = np.array([measure_text(x) for x in batch.column("text").to_pylist()], np.int64).reshape(batch.num_rows, 8)
-        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("stratum"), *(pa.array(table[:, i]) for i in range(8))], names)
 
-    return map_batches(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, stratum string, {MEASURES}")
+def _verdict(found: DataFrame, chosen: DataFrame, rules: Sequence[CutoffRule], least_words: int, most_repeat_percent: int) -> DataFrame:
+    """``found`` with base_failed, broken_rules and kept.
+
+    The cutoffs have a row for each stratum; the join's other side is split by
+    rows where the cutoffs are small enough to be sent to all tasks.
+    """
+    cuts = chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts")).withColumnRenamed("stratum", "of")
+    broken = F.array_compact(F.array(*(F.when(F.col(r.measure) > F.col("cuts")[r.measure], F.lit(r.measure)) for r in rules)))
+    base = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
+    judged = found.join(cuts, F.col("stratum") == F.col("of"), "left").withColumns({"base_failed": base, "broken_rules": F.coalesce(broken, F.array().cast("array<string>"))})
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
 
 
 def measure_columns() -> dict[str, Column]:
@@ -178,19 +197,34 @@ def judge(
     base. Repeated rows are judged alike, one by one; a document labelled
     twice counts once, and as good if any label says so.
     """
-    found = materialise(measured(docs, id_col, text_col, stratum_col).withColumns(measure_columns()), "quality")
+    found = materialise(measured(docs, id_col, text_col, stratum_col), "quality")
     marks = labels.select(F.col(label_id_col).alias("id"), F.expr(good).alias("good"))
     chosen = certified_cutoffs(found, marks, rules, risk, delta)
-    cuts = chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts")).withColumnRenamed("stratum", "of")
-    broken = F.array_compact(F.array(*(F.when(F.col(r.measure) > F.col("cuts")[r.measure], F.lit(r.measure)) for r in rules)))
-    base = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
     names = [x.split()[0] for x in MEASURES.split(", ")]
-    return (
-        # The strata table has a row for each stratum; the join's other side is split by rows, not by stratum.
-        found.join(cuts, F.col("stratum") == F.col("of"), "left")
-        .select(F.col("id").alias(id_col), *names, base.alias("base_failed"), F.coalesce(broken, F.array().cast("array<string>")).alias("broken_rules"))
-        .withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
-    )
+    judged = _verdict(found, chosen, rules, least_words, most_repeat_percent)
+    return judged.select(F.col("id").alias(id_col), *names, "base_failed", "broken_rules", "kept")
+
+
+def keep(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    stratum_col: str = "lang",
+    label_id_col: str = "doc_id",
+    good: str = "quality = 1",
+    rules: Sequence[CutoffRule] = RULES,
+    risk: float = 0.05,
+    delta: float = 0.05,
+    least_words: int = 20,
+    most_repeat_percent: int = 30,
+) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns; texts are measured again rather than shuffled."""
+    marks = labels.select(F.col(label_id_col).alias("id"), F.expr(good).alias("good"))
+    found = materialise(measured(docs, id_col, text_col, stratum_col), "quality")
+    chosen = materialise(certified_cutoffs(found, marks, rules, risk, delta), "quality-cutoffs")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"))
+    return _verdict(_measured(rows, "text", ["row", "stratum"]), chosen, rules, least_words, most_repeat_percent).filter("kept").select("row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.llm import chat_format, line_dedup, lm_scoring, mixing, ngram_jaccard, quality_rules, token_counts, url_filter, warc
+from lamella.llm import chat_format, decontamination, line_dedup, lm_scoring, mixing, ngram_jaccard, quality_rules, token_counts, url_filter, warc
 
 _QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
     "op2_ngram_jaccard": ngram_jaccard.op2_ngram_jaccard,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_chat_format": chat_format.op7_chat_format,
     "op8_token_counts": token_counts.op8_token_counts,

@@ -1,24 +1,238 @@
-"""Named queries over the sample tables, each with its SQL equivalent."""
+"""Named queries over the sample tables, each with its SQL equivalent.
+
+``events.event_id`` and ``orders.o_orderkey`` equal the row's position in
+their files, so SQL can name positions. Nulls, booleans and single-precision
+values are derived with the same formulas on both sides.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamella.functions.predicates import BoolEq, Const, FloatRange, IntRange, RangeFilter
+from lamella.operators import position, ranges, zonemap
+from lamella.sources.parquet import FILE, ROW, predicate, read, scan, with_position
+
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+NULLS = "event_id % 5 = 0 OR event_id % 17 = 0"
+HALVES = {"oo": (False, False), "oc": (False, True), "co": (True, False), "cc": (True, True)}
+
+
+def _add(name: str, query: Query, sql: str) -> None:
+    _QUERIES[name] = query
+    _SQL[name] = sql
+
+
+def _scan(name: str, table: str, columns: Mapping[str, RangeFilter | None] | list[str] | None, sql: str, filters: Mapping[str, RangeFilter] | None = None) -> None:
+    _add(name, lambda spark, d: scan(spark, f"{d}/{table}.parquet", columns, filters), sql)
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """Positioned events with the derived columns that the filters need."""
+    null = F.expr(NULLS)
+
+    def unless_null(c: Column) -> Column:
+        return F.when(null, None).otherwise(c)
+
+    return with_position(read(spark, f"{d}/events.parquet")).withColumns(
+        {
+            "small": unless_null(F.col("event_id").cast("int")),
+            "flag": F.expr("event_id % 4 = 0"),
+            "maybe_flag": unless_null(F.expr("event_id % 4 = 0")),
+            "maybe_value": unless_null(F.col("value")),
+            "single": F.col("value").cast("float"),
+            "maybe_nan": F.when(F.expr("event_id % 7 = 0"), F.lit(math.nan)).otherwise(F.col("value")),
+        }
+    )
+
+
+DERIVED = f"""(SELECT *, CASE WHEN {NULLS} THEN NULL ELSE event_id::INTEGER END AS small, event_id % 4 = 0 AS flag,
+  CASE WHEN {NULLS} THEN NULL ELSE event_id % 4 = 0 END AS maybe_flag, CASE WHEN {NULLS} THEN NULL ELSE value END AS maybe_value,
+  value::FLOAT AS single, CASE WHEN event_id % 7 = 0 THEN 'NaN'::DOUBLE ELSE value END AS maybe_nan FROM events)"""
+
+
+def _derived(name: str, columns: list[str], filters: Mapping[str, RangeFilter], where: str) -> None:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        df = _events(spark, d)
+        return df.filter(predicate(df.schema, filters)).select(*columns)
+
+    _add(name, query, f"SELECT {', '.join(columns)} FROM {DERIVED} WHERE {where}")
+
+
+# Scans and projections.
+_scan("scan_full", "nation", None, "SELECT * FROM nation")
+_scan("project_subset", "lineitem", ["l_returnflag", "l_orderkey", "l_tax"], "SELECT l_returnflag, l_orderkey, l_tax FROM lineitem")
+_add(
+    "physical_view",
+    lambda spark, d: read(spark, f"{d}/lineitem.parquet").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.expr("unix_date(cast(l_shipdate as date)) * 86400000000L + hour(l_shipdate) * 3600000000L + minute(l_shipdate) * 60000000L + cast(extract(second from l_shipdate) * 1000000 as bigint)").alias("shipdate_micros"),
+    ),
+    "SELECT l_orderkey, l_linenumber, epoch_us(l_shipdate) AS shipdate_micros FROM lineitem",
+)
+_add(
+    "nested_passthrough",
+    lambda spark, d: scan(spark, f"{d}/embeddings.parquet", ["vec_id", "embedding"]).select("vec_id", F.size("embedding").cast("long").alias("n"), F.get("embedding", F.lit(0)).alias("first"), F.get("embedding", F.size("embedding") - 1).alias("last")),
+    "SELECT vec_id, len(embedding)::BIGINT AS n, embedding[1] AS first, embedding[len(embedding)] AS last FROM embeddings",
+)
+_add(
+    "binary_passthrough",
+    lambda spark, d: scan(spark, f"{d}/part.parquet", ["p_partkey", "p_name"], {"p_size": IntRange(10, 20)}).select("p_partkey", F.hex(F.encode("p_name", "UTF-8")).alias("name_hex")),
+    "SELECT p_partkey, hex(encode(p_name)) AS name_hex FROM part WHERE p_size BETWEEN 10 AND 20",
+)
+
+# Integer ranges.
+LINE = ["l_orderkey", "l_linenumber", "l_quantity"]
+_scan("filter_int32_range", "lineitem", LINE, f"SELECT {', '.join(LINE)} FROM lineitem WHERE l_linenumber BETWEEN 2 AND 4", {"l_linenumber": IntRange(2, 4)})
+_scan("filter_int32_point", "lineitem", LINE, f"SELECT {', '.join(LINE)} FROM lineitem WHERE l_linenumber = 3", {"l_linenumber": IntRange(3, 3)})
+_derived("filter_int32_disjoint_nulls", ["event_id", "small"], {"small": IntRange(2**31, 2**40, null_allowed=True)}, "small IS NULL")
+_scan("filter_int64_range", "orders", ["o_orderkey", "o_totalprice"], "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 100 AND 900", {"o_orderkey": IntRange(100, 900)})
+_scan("filter_int64_clamped", "orders", ["o_orderkey", "o_custkey"], "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 500", {"o_orderkey": IntRange(500, 2**70)})
+
+# Float ranges.
+PRICE = ["l_orderkey", "l_linenumber", "l_extendedprice"]
+for _name, (_lo, _hi) in HALVES.items():
+    _where = f"l_quantity {'>=' if _lo else '>'} 10 AND l_quantity {'<=' if _hi else '<'} 20"
+    _scan(f"filter_f64_{_name}", "lineitem", LINE, f"SELECT {', '.join(LINE)} FROM lineitem WHERE {_where}", {"l_quantity": FloatRange(10.0, 20.0, lower_included=_lo, upper_included=_hi)})
+_scan("filter_f64_lower_only", "lineitem", PRICE, f"SELECT {', '.join(PRICE)} FROM lineitem WHERE l_extendedprice > 90000", {"l_extendedprice": FloatRange(90000.0, upper_bounded=False)})
+_scan("filter_f64_upper_only", "lineitem", PRICE, f"SELECT {', '.join(PRICE)} FROM lineitem WHERE l_extendedprice <= 2000", {"l_extendedprice": FloatRange(upper=2000.0, lower_bounded=False, upper_included=True)})
+_scan("filter_f64_unbounded", "lineitem", PRICE, f"SELECT {', '.join(PRICE)} FROM lineitem WHERE l_extendedprice IS NOT NULL", {"l_extendedprice": FloatRange(lower_bounded=False, upper_bounded=False)})
+_derived("filter_f64_nan", ["event_id", "maybe_nan"], {"maybe_nan": FloatRange(100.0, upper_bounded=False)}, "maybe_nan > 100 AND NOT isnan(maybe_nan)")
+_derived("filter_f32_range", ["event_id", "single"], {"single": FloatRange(50.1, 200.2, lower_included=True)}, "single >= 50.1::FLOAT AND single < 200.2::FLOAT")
+
+# Booleans, constants, null policies, types.
+for _value in (True, False):
+    for _nulls in (True, False):
+        _derived(
+            f"filter_bool_{str(_value).lower()}_{'null' if _nulls else 'nonnull'}", ["event_id", "maybe_flag"],
+            {"maybe_flag": BoolEq(_value, _nulls)}, f"maybe_flag = {_value}" + " OR maybe_flag IS NULL" * _nulls,
+        )
+_scan("filter_const_true", "nation", {"n_nationkey": Const(True), "n_name": None}, "SELECT n_nationkey, n_name FROM nation WHERE true")
+_scan("filter_const_false", "nation", {"n_nationkey": Const(False), "n_name": None}, "SELECT n_nationkey, n_name FROM nation WHERE false")
+_scan("filter_type_mismatch", "lineitem", LINE, f"SELECT {', '.join(LINE)} FROM lineitem WHERE false", {"l_quantity": IntRange(0, 100, null_allowed=True)})
+_add(
+    "null_policy_only",
+    lambda spark, d: _events(spark, d).filter(FloatRange().null_column(F.col("maybe_value"))).select("event_id", "maybe_value"),
+    f"SELECT event_id, maybe_value FROM {DERIVED} WHERE maybe_value IS NOT NULL",
+)
+
+# Conjunctions, with a filter more each time and mixed null policies.
+LADDER: list[tuple[str, RangeFilter, str]] = [
+    ("flag", BoolEq(True), "flag"),
+    ("small", IntRange(100, 900_000, null_allowed=True), "(small BETWEEN 100 AND 900000 OR small IS NULL)"),
+    ("single", FloatRange(20.0, 450.0), "single > 20 AND single < 450"),
+    ("event_id", IntRange(300, 700_000, null_allowed=True), "event_id BETWEEN 300 AND 700000"),
+    ("maybe_value", FloatRange(40.0, 400.0), "maybe_value > 40 AND maybe_value < 400"),
+]
+for _n in range(2, 6):
+    _steps = LADDER[:_n]
+    _derived(f"filter_and_{_n}", ["event_id", *(c for c, _, _ in _steps if c != "event_id")], {c: f for c, f, _ in _steps}, " AND ".join(w for _, _, w in _steps))
+
+# Positions and batches.
+EVENT = ["event_id", "user_id", "value"]
+
+
+def _positioned(spark: SparkSession, d: str, filters: Mapping[str, RangeFilter] | None = None) -> DataFrame:
+    return scan(spark, f"{d}/events.parquet", EVENT, filters, position=True)
+
+
+BIG = {"value": FloatRange(60.0, upper_bounded=False)}
+_add("skip_rows", lambda s, d: position.skip(_positioned(s, d), 200).select(*EVENT), f"SELECT {', '.join(EVENT)} FROM events WHERE event_id >= 200")
+_add("skip_past_end", lambda s, d: position.skip(_positioned(s, d), 10**9).select(*EVENT), f"SELECT {', '.join(EVENT)} FROM events WHERE false")
+_add("point_query", lambda s, d: position.row_range(_positioned(s, d), 300, 350).select(*EVENT), f"SELECT {', '.join(EVENT)} FROM events WHERE event_id BETWEEN 300 AND 349")
+_add(
+    "point_query_filtered",
+    lambda s, d: position.point_query(_positioned(s, d, BIG), 300, 40).select(*EVENT),
+    f"SELECT {', '.join(EVENT)} FROM events WHERE event_id >= 300 AND value > 60 ORDER BY event_id LIMIT 40",
+)
+
+
+def _batch_counts(spark: SparkSession, d: str) -> DataFrame:
+    df = with_position(read(spark, f"{d}/events.parquet"))
+    chosen = predicate(df.schema, BIG)
+    return position.with_batches(df, 256).groupBy(F.col("_batch").alias("batch")).agg(F.count("*").alias("physical"), F.count_if(chosen).alias("selected"))
+
+
+_add("batch_counts", _batch_counts, "SELECT event_id // 256 AS batch, count(*) AS physical, count(*) FILTER (WHERE value > 60) AS selected FROM events GROUP BY ALL")
+
+# Row ranges.
+RUNS = """(SELECT min(event_id) AS begin, max(event_id) + 1 AS "end"
+  FROM (SELECT event_id, event_id - row_number() OVER (ORDER BY event_id) AS run FROM events WHERE value > 60) GROUP BY run)"""
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    return ranges.islands(_positioned(spark, d, BIG)).select("begin", "end")
+
+
+_add("row_ranges", _runs, f"SELECT * FROM {RUNS}")
+
+
+def _range_part(part: Callable[[Column, Column], Column]) -> Query:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return _runs(spark, d).select(F.col("begin").alias("of"), part(F.col("begin"), F.col("end")).alias("part")).filter("part is not null").select("of", "part.begin", "part.end")
+
+    return query
+
+
+for _name, _part, _lo, _hi in (
+    ("covered", lambda b, e: ranges.covered(b, e, F.lit(100), F.lit(500)), "greatest(begin, 100)", 'least("end", 500)'),
+    ("left", lambda b, e: ranges.left_of(b, e, F.lit(100)), "begin", 'least("end", 100)'),
+    ("right", lambda b, e: ranges.right_of(b, e, F.lit(500)), "greatest(begin, 500)", '"end"'),
+):
+    _add(f"row_range_{_name}", _range_part(_part), f'SELECT begin AS of, {_lo} AS begin, {_hi} AS "end" FROM {RUNS} WHERE {_lo} < {_hi}')
+_add(
+    "range_transfer",
+    lambda s, d: ranges.transfer(_positioned(s, d, BIG), _positioned(s, d, {"user_id": IntRange(10, 60)})).select(*EVENT),
+    f"SELECT {', '.join(EVENT)} FROM events WHERE value > 60 AND event_id IN (SELECT event_id FROM events WHERE user_id BETWEEN 10 AND 60)",
+)
+
+
+def _value_lookup(spark: SparkSession, d: str) -> DataFrame:
+    df = _events(spark, d).select("maybe_value", FILE, ROW)
+    parts = [ranges.lookup(df, "maybe_value", k, F.lit(0.0)).withColumn("row", F.lit(k).cast("long")) for k in (85, 86)]
+    return parts[0].unionByName(parts[1])
+
+
+_add("value_lookup", _value_lookup, f"SELECT event_id AS row, maybe_value IS NOT NULL AS validity, coalesce(maybe_value, 0) AS value FROM {DERIVED} WHERE event_id IN (85, 86)")
+
+# Summaries.
+_INT_ZONE, _FLOAT_ZONE = IntRange(1000, 3000), FloatRange(450.0, 480.0)
+_add(
+    "zone_map_int",
+    lambda s, d: zonemap.zone_map(_events(s, d).select("small", FILE, ROW), "small", 512, _INT_ZONE).drop(FILE),
+    f"""SELECT event_id // 512 AS batch, min(small) AS least, max(small) AS greatest, bool_or(small IS NULL) AS has_null,
+        coalesce(max(small) >= 1000 AND min(small) <= 3000, false) AS may_match FROM {DERIVED} GROUP BY 1""",
+)
+_add(
+    "zone_map_float",
+    lambda s, d: zonemap.zone_map(_events(s, d).select("maybe_value", FILE, ROW), "maybe_value", 64, _FLOAT_ZONE).drop(FILE),
+    f"""SELECT event_id // 64 AS batch, min(maybe_value) AS least, max(maybe_value) AS greatest, bool_or(maybe_value IS NULL) AS has_null,
+        coalesce(max(maybe_value) > 450 AND min(maybe_value) < 480, false) AS may_match FROM {DERIVED} GROUP BY 1""",
+)
+_add(
+    "dictionary_selectivity",
+    lambda s, d: zonemap.dictionary_selectivity(read(s, f"{d}/lineitem.parquet").select("l_quantity"), "l_quantity", FloatRange(10.0, 20.0)),
+    "SELECT l_quantity AS value, l_quantity > 10 AND l_quantity < 20 AS selected, count(*) AS rows FROM lineitem GROUP BY ALL",
+)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three columns of lineitem, filtered by line number."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lines.filter(F.col("l_linenumber").between(2, 4)).select("l_orderkey", "l_linenumber", "l_quantity")
+    """Three filters over lineitem, the most selective first."""
+    filters = {"l_discount": FloatRange(0.05, 0.07, lower_included=True, upper_included=True), "l_linenumber": IntRange(2, 4), "l_quantity": FloatRange(upper=24.0, lower_bounded=False)}
+    return scan(spark, f"{sf_dir}/lineitem.parquet", ["l_orderkey", "l_linenumber", "l_extendedprice", "l_discount"], filters)
 
 
 def queries() -> dict[str, Query]:
-    return {"filter_int32_range": flagship}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"filter_int32_range": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_linenumber BETWEEN 2 AND 4"}
+    return dict(_SQL)

@@ -236,3 +236,29 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents by a word bigram automaton, every seventh (by crc32 of the id) held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
+ORACLE_SQL = r"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t
+), texts AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                         lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 7 = 2 AS held_out,
+         list_append(list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: 'w' || x), 'end') AS w
+  FROM documents, crc_table
+), tokens AS (
+  SELECT r, held_out, i, w[i] AS w, CASE WHEN i = 1 THEN 'start' ELSE w[i - 1] END AS b FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM texts)
+), one AS (SELECT w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY w),
+two AS (SELECT b, w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY b, w),
+facts AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM one),
+contexts AS (SELECT b, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY b),
+weighed AS (
+  SELECT t.r, o.c IS NOT NULL AS known, log10((coalesce(o.c, 0) + 1) / (n + v + 1)) AS base,
+         log10((coalesce(x.c, 0) + 60 * CASE WHEN o.c IS NULL THEN 0.75::DOUBLE * v / n ELSE (o.c - 0.75::DOUBLE) / n END) / (coalesce(k.c, 0) + 60)) AS score
+  FROM tokens t CROSS JOIN facts LEFT JOIN one o ON o.w = t.w LEFT JOIN two x ON x.b = t.b AND x.w = t.w LEFT JOIN contexts k ON k.b = t.b
+)
+SELECT doc_id, any_value(s.held_out) AS held_out, count(*) AS n_tokens, count(*) FILTER (WHERE known) AS n_known, any_value(n) AS train_tokens,
+       sum(base) AS base_score, sum(score) AS score
+FROM weighed JOIN texts s USING (r) CROSS JOIN facts GROUP BY r, doc_id
+"""

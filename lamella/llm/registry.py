@@ -20,7 +20,15 @@ _QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
 }
-_SQL = {"op9_warc": warc.ORACLE_SQL, "op7_chat_format": chat_format.ORACLE_SQL, "op2_ngram_jaccard": ngram_jaccard.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
+_SQL = {
+    "op1_lm_scoring": lm_scoring.ORACLE_SQL,
+    "op2_ngram_jaccard": ngram_jaccard.ORACLE_SQL,
+    "op3_quality_rules": quality_rules.ORACLE_SQL,
+    "op6_url_filter": url_filter.ORACLE_SQL,
+    "op7_chat_format": chat_format.ORACLE_SQL,
+    "op9_warc": warc.ORACLE_SQL,
+    "op10_mixing": mixing.ORACLE_SQL,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -22,15 +22,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     pairs = materialise(pairs, "edges")
     seen = _checksum(pairs)
     while seen[0]:
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = pairs.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        # Large star: neighbours greater than u go to the least node that u sees.
-        large = both.join(least, F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
+        # Large star: neighbours greater than u go to the least node that u sees. Doubles go with the next step's.
+        large = both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: smaller neighbours of a, and a itself, go to the least of them.
         lower = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         joined = large.join(lower, F.col("a") == F.col("u"))
-        small = joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        small = joined.select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))))
         pairs = materialise(small.filter("a <> b").distinct(), "edges")
         before, seen = seen, _checksum(pairs)
         if before == seen:

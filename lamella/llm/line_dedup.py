@@ -16,47 +16,53 @@ from math import comb
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.common import materialise
+from lamella.llm.common import filter_scans, materialise
 from lamella.llm.components import connected_components
 
 #: Most differing bits of linked SimHashes.
 DISTANCE = 3
-#: Bits j and j + 32 of a word's hash are summed in the two halves of one long.
-_HALVES = 0x0000000100000001
-#: Half width of the band in which the edit distance is tried first.
-NARROW = 24
-
-
-def normal_lines(text: Column) -> Column:
-    """The lines of a text in lower case, without anything but letters, marks, digits and spaces."""
-    return F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N} \n]+", ""), "\n", -1)
+#: A SimHash has 63 bits: bits j, j + 21 and j + 42 of a word's hash are summed in three parts of one long.
+LANES, LANE = 3, 21
+_ONES = sum(1 << LANE * i for i in range(LANES))
+#: Words of at least so many characters are a line's features; all words, where it has none.
+FEATURE = 6
+#: Half widths of the bands in which the edit distance is tried before the whole allowance.
+BANDS = (24, 80)
 
 
 def _occurrences(docs: DataFrame, least_words: int) -> DataFrame:
-    """(id, pos, norm) of the lines that take part."""
-    lines = docs.filter("id is not null").select("id", F.posexplode(normal_lines(F.col("text"))).alias("pos", "raw"))
-    norm = F.trim(F.regexp_replace("raw", " {2,}", " "))
-    # A line of n words has n - 1 spaces, so short ones go before they are split.
-    return lines.select("id", "pos", norm.alias("norm")).filter(F.length("norm") >= 2 * least_words - 1).filter(F.size(F.split("norm", " ")) >= least_words)
+    """(id, pos, norm) of the lines that take part, in lower case and without outer blanks.
+
+    Only byte-wise functions: every character of the corpus comes by here twice.
+    """
+    lines = docs.filter("id is not null").select("id", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("pos", "raw"))
+    norm = lines.select("id", "pos", F.trim("raw").alias("norm"))
+    return norm.filter(F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) >= least_words - 1)
 
 
 def _simhashes(lines: DataFrame) -> DataFrame:
     """(key, simhash) of distinct lines that are dealt out by ``key``; nothing is shuffled.
 
-    A word weighs as many as it has characters, so that frequent short words
-    don't make lines alike.
+    A feature weighs as many as it has characters and counts once, so that a
+    word repeated many times isn't all of a SimHash. The sums fit their parts of
+    a long for lines of up to a million characters; in longer ones weights are
+    halved as often as it takes.
     """
-    words = lines.select("key", F.explode(F.split("norm", " ")).alias("w"))
-    hashed = words.select("key", F.xxhash64("w").alias("h"), F.length("w").cast("long").alias("weight"))
-    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(_HALVES)) * F.col("weight")).alias(f"s{j}") for j in range(32)]
+    halvings = F.greatest(F.ceil(F.log2(F.length("norm") / F.lit(float(1 << (LANE - 1))))), F.lit(0)).cast("int")
+    long_words = F.regexp_extract_all("norm", F.lit(f"[^ ]{{{FEATURE},}}"), F.lit(0))
+    listed = lines.select("key", "norm", halvings.alias("halvings"), long_words.alias("words"))
+    words = F.when(F.size("words") > 0, F.col("words")).otherwise(F.split("norm", " "))
+    features = listed.select("key", "halvings", F.explode(F.array_distinct(words)).alias("w"))
+    weight = F.call_function("shiftright", F.length("w"), F.col("halvings")).cast("long")
+    hashed = features.select("key", F.xxhash64("w").alias("h"), weight.alias("weight"))
+    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(_ONES)) * F.col("weight")).alias(f"s{j}") for j in range(LANE)]
     summed = hashed.groupBy("key").agg(F.sum("weight").alias("all"), *sums)
-    bits = []
-    for j in range(32):
-        low = F.col(f"s{j}").bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > F.col("all")
-        high = F.shiftrightunsigned(f"s{j}", 32) * 2 > F.col("all")
-        top = -(1 << 63) if j == 31 else 1 << (j + 32)
-        bits += [F.when(low, F.lit(1 << j)).otherwise(F.lit(0)).cast("long"), F.when(high, F.lit(top)).otherwise(F.lit(0)).cast("long")]
-    return summed.select("key", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("simhash"))
+    parts = []
+    for lane in range(LANES):
+        for j in range(LANE):
+            ones = F.shiftrightunsigned(f"s{j}", lane * LANE).bitwiseAND(F.lit((1 << LANE) - 1))
+            parts.append(F.when(ones * 2 > F.col("all"), F.lit(1 << (lane * LANE + j))).otherwise(F.lit(0)).cast("long"))
+    return summed.select("key", reduce(lambda a, b: a.bitwiseOR(b), parts).alias("simhash"))
 
 
 def block_widths(n: int) -> list[int]:
@@ -88,14 +94,20 @@ def close_simhashes(hashes: DataFrame, n: int) -> DataFrame:
 
 
 def similar_lines(a: Column, b: Column, percent: int) -> Column:
-    """Edit distance at most (100 - percent) % of the longer line; tried in a narrow band first."""
+    """Edit distance at most (100 - percent) % of the longer line; tried in narrow bands first."""
     most = F.floor(F.greatest(F.length(a), F.length(b)) * (100 - percent) / 100).cast("int")
-    narrow = F.call_function("levenshtein", a, b, F.least(most, F.lit(NARROW)))
-    return F.when(narrow >= 0, True).when(most <= NARROW, False).otherwise(F.call_function("levenshtein", a, b, most) >= 0)
+    out: Column | None = None
+    for band in BANDS:
+        near = F.call_function("levenshtein", a, b, F.least(most, F.lit(band))) >= 0
+        out = F.when(near, True) if out is None else out.when(near, True)
+        out = out.when(most <= band, False)
+    return out.otherwise(F.call_function("levenshtein", a, b, most) >= 0)
 
 
 def _links(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of line keys that pass the edit check."""
+    # The comparison is always true; it lets the optimizer filter the lines' scan by the pairs' keys.
+    pairs = pairs.filter("a <> b")
     joined = pairs.join(lines.select(F.col("key").alias("a"), F.col("norm").alias("na")), "a").join(lines.select(F.col("key").alias("b"), F.col("norm").alias("nb")), "b")
     shorter, longer = F.least(F.length("na"), F.length("nb")), F.greatest(F.length("na"), F.length("nb"))
     return joined.filter((shorter * 100 >= longer * percent) & similar_lines(F.col("na"), F.col("nb"), percent)).select("a", "b")
@@ -104,38 +116,63 @@ def _links(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
 def line_groups(lines: DataFrame, percent: int) -> DataFrame:
     """(node, root) for each distinct line that is linked and not its group's least key.
 
-    ``lines`` has key, norm and simhash. First every SimHash's lines are
-    compared with its least one, and this with one line of a close SimHash;
-    then, where lines of equal or close SimHashes are still in different
-    groups, all of these are compared. So every link counts, and a family of
-    variants that is already connected isn't listed pair by pair.
+    ``lines`` has key, norm and simhash. Lines of one SimHash are compared
+    with its least one, and of two close SimHashes the least ones with each
+    other. A pair counts only while its lines are in different groups, so a few
+    are tried first, one for each line and one for each two groups, and then
+    all that are left. Where the least lines of two SimHashes don't link, all of
+    their lines are compared. So no link is lost, and a family of variants
+    isn't listed pair by pair.
     """
     least = materialise(lines.groupBy("simhash").agg(F.min("key").alias("least"), F.count("*").alias("n")), "line-simhashes")
     close = materialise(close_simhashes(least.select("simhash"), least.count()), "line-close")
     same = lines.join(least.filter("n > 1"), "simhash").filter("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
-    one = close.groupBy("y").agg(F.min("x").alias("x"))
-    reps = least.select("simhash", "least")
-    first = (
-        one.join(reps.select(F.col("simhash").alias("x"), F.col("least").alias("a")), "x")
-        .join(reps.select(F.col("simhash").alias("y"), F.col("least").alias("b")), "y")
-        .select("a", "b")
-    )
-    tried = materialise(same.unionByName(first), "line-pairs")
+    of_x = least.select(F.col("simhash").alias("x"), F.col("least").alias("a"), F.col("n").alias("nx"))
+    of_y = least.select(F.col("simhash").alias("y"), F.col("least").alias("b"), F.col("n").alias("ny"))
+    left = materialise(close.join(of_x, "x").join(of_y, "y").select("x", "y", "a", "b", (F.col("nx") * F.col("ny") > 1).alias("several")), "line-candidates")
+    pairs = left
+    # Round 1: a line with the least one of its SimHash, and this with its least partner.
+    partner = left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    tried = materialise(same.unionByName(partner), "line-round")
     links = materialise(_links(tried, lines, percent), "line-links")
-    roots = materialise(connected_components(links), "line-roots")
-    label = F.coalesce("root", "key").alias("label")
-    labelled = lines.select("key", "simhash").join(roots, F.col("key") == F.col("node"), "left").select("key", "simhash", label)
-    # Which groups each SimHash's lines are in; pairs of SimHashes with more than one group are open.
-    spread = materialise(labelled.groupBy("simhash").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "line-spread")
-    x = spread.select(F.col("simhash").alias("x"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"))
-    y = spread.select(F.col("simhash").alias("y"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi"))
-    between = close.join(x, "x").join(y, "y").filter("least(xlo, ylo) <> greatest(xhi, yhi)").select("x", "y")
-    within = spread.filter("lo <> hi").select(F.col("simhash").alias("x"), F.col("simhash").alias("y"))
-    open_ = materialise(between.unionByName(within), "line-open")
+    roots = connected_components(links)
+    # Round 2: one pair for each two groups that have close SimHashes; round 3: all pairs left.
+    for last in (False, True):
+        open_ = materialise(_still_open(left.join(tried, ["a", "b"], "left_anti"), roots), "line-open")
+        chosen = open_ if last else open_.groupBy(F.least("la", "lb").alias("l"), F.greatest("la", "lb").alias("r")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
+        chosen = materialise(chosen.select("a", "b"), "line-round")
+        found = materialise(_links(chosen, lines, percent), "line-links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = connected_components(links)
+        if last or chosen.isEmpty():
+            break
+        tried = tried.unionByName(chosen)
+    return _all_lines(pairs, lines, least, links, roots, percent)
+
+
+def _still_open(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs`` whose lines are in different groups, with the groups as la and lb."""
+    a, b = (roots.select(F.col("node").alias(f"node_{k}"), F.col("root").alias(f"root_{k}")) for k in "ab")
+    joined = pairs.join(a, F.col("a") == F.col("node_a"), "left").join(b, F.col("b") == F.col("node_b"), "left")
+    named = joined.withColumns({"la": F.coalesce("root_a", "a"), "lb": F.coalesce("root_b", "b")})
+    return named.filter("la <> lb").drop("node_a", "root_a", "node_b", "root_b")
+
+
+def _all_lines(pairs: DataFrame, lines: DataFrame, least: DataFrame, links: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Roots after the lines of SimHashes with several lines have been compared across groups."""
+    close = _still_open(pairs.filter("several"), roots).select("x", "y")
+    many = lines.select("key", "simhash").join(least.filter("n > 1").select("simhash"), "simhash")
+    labelled = many.join(roots, F.col("key") == F.col("node"), "left").groupBy("simhash").agg(F.min(F.coalesce("root", "key")).alias("lo"), F.max(F.coalesce("root", "key")).alias("hi"))
+    within = labelled.filter("lo <> hi").select(F.col("simhash").alias("x"), F.col("simhash").alias("y"))
+    mixed = labelled.filter("lo <> hi").select(F.col("simhash").alias("mixed"))
+    beside = [pairs.filter("several").join(mixed, F.col(c) == F.col("mixed"), "left_semi").select("x", "y") for c in "xy"]
+    open_ = materialise(reduce(DataFrame.unionByName, [close, within, *beside]).distinct(), "line-open")
     if open_.isEmpty():
         return roots
-    of_x = labelled.select(F.col("simhash").alias("x"), F.col("key").alias("kx"), F.col("label").alias("lx"))
-    of_y = labelled.select(F.col("simhash").alias("y"), F.col("key").alias("ky"), F.col("label").alias("ly"))
+    label = lines.select("key", "simhash").join(roots, F.col("key") == F.col("node"), "left").select("key", "simhash", F.coalesce("root", "key").alias("label"))
+    of_x = label.select(F.col("simhash").alias("x"), F.col("key").alias("kx"), F.col("label").alias("lx"))
+    of_y = label.select(F.col("simhash").alias("y"), F.col("key").alias("ky"), F.col("label").alias("ly"))
     rest = open_.join(of_x, "x").join(of_y, "y").filter("lx <> ly").select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b")).distinct()
     more = materialise(_links(rest, lines, percent), "line-more")
     return roots if more.isEmpty() else materialise(connected_components(links.unionByName(more)), "line-roots")
@@ -144,14 +181,15 @@ def line_groups(lines: DataFrame, percent: int) -> DataFrame:
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least_words: int = 5) -> DataFrame:
     """(id, removed, kept_in): for each document that loses lines, their places and the documents that keep them.
 
-    A line takes part if it has ``least_words`` words when normalised; shorter
-    ones always stay. Two lines are linked when their SimHashes differ in at
+    A line takes part if it has ``least_words`` words; shorter ones always
+    stay. Lines are compared in lower case and without outer blanks. Two lines are linked when their SimHashes differ in at
     most three bits and their edit distance is at most 100 - ``percent`` % of
     the longer one. Of a connected group, the occurrence with the least id,
     then place, stays. Null and empty texts and rows with a null id lose
     nothing. Rows that share an id are one document: they lose the same
     places. Lines may have any length; equal ones are joined by a 64-bit hash.
     """
+    filter_scans(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     found = _occurrences(rows, least_words).withColumn("key", F.xxhash64("norm"))
     lines = found.groupBy("key").agg(F.max("norm").alias("norm"))
@@ -181,12 +219,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: doc_id, n_lines, n_removed, removed (places), kept_in (ids of documents that keep the lines)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     gone = removed_lines(docs).withColumnRenamed("doc_id", "id")
-    counted = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n_lines"))
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    counted = docs.select("doc_id", F.coalesce(breaks + 1, F.lit(0)).cast("int").alias("n_lines"))
     none = F.array().cast("array<int>")
     return counted.join(gone, F.col("doc_id") == F.col("id"), "left").select(
         "doc_id",
-        F.greatest("n_lines", F.lit(0)).alias("n_lines"),
-        F.greatest(F.size(F.coalesce("removed", none)), F.lit(0)).alias("n_removed"),
+        "n_lines",
+        F.size(F.coalesce("removed", none)).alias("n_removed"),
         F.coalesce("removed", none).alias("removed"),
         F.coalesce("kept_in", F.array().cast("array<bigint>")).alias("kept_in"),
     )

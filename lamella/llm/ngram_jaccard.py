@@ -90,17 +90,21 @@ class Bands:
             high.append((high[-1] + 1) * 100 // percent)
         self.high = np.array(high, np.int64)
         k = self.high * (100 - percent) // percent
-        #: Parts: 2 * n1 > k; none where only equal sets qualify.
-        self.parts = np.where(k > 0, (k + 2) // 2, 0)
+        # Of n1 parts, at least n1 - k // 2 have one difference at most; all but ``spare`` of these can be done without.
+        needed = k // 2 + 1
+        self.spare = np.minimum(needed // 12, 2 + needed // 16)
+        #: Parts of an instance; none where only equal sets qualify.
+        self.parts = np.where(k > 0, needed + self.spare, 0)
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.high, sizes)
 
 
 def _slot_signatures(elements: np.ndarray, starts: np.ndarray, parts: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of several sets: (signature, its set, whether its slots are empty).
+    """Signatures of several sets, a row for each part and a column for each pair of slots.
 
-    ``elements`` holds each set's sorted hashes from ``starts[i]`` to
+    Returns the signatures, each row's set, and whether the two slots are
+    empty. ``elements`` holds each set's sorted hashes from ``starts[i]`` to
     ``starts[i + 1]``. As slots cut the hash space in order, a set's slots are
     runs of its sorted elements.
     """
@@ -115,42 +119,43 @@ def _slot_signatures(elements: np.ndarray, starts: np.ndarray, parts: np.ndarray
     digest = digest.reshape(-1, 3)
     owner = np.repeat(np.arange(len(parts)), parts)
     part = (np.arange(len(owner)) - np.repeat(base[:-1] // 3, parts)).astype(np.uint64)
-    out, empty = [], []
+    out, empty = np.empty(digest.shape, np.uint64), np.empty(digest.shape, bool)
     for j, (a, b) in enumerate(SLOT_PAIRS):
         tag = mix64(salts[owner] + part * _ODD[41] + np.uint64(j + 1) * _ODD[42])
         # An empty slot's digest is 0; sums of mixed hashes are 0 for others with negligible chance.
-        out.append(mix64(digest[:, a] * _ODD[43] + digest[:, b] * _ODD[44] + tag))
-        empty.append((digest[:, a] | digest[:, b]) == 0)
-    return np.concatenate(out), np.tile(owner, 3), np.concatenate(empty)
+        out[:, j] = mix64(digest[:, a] * _ODD[43] + digest[:, b] * _ODD[44] + tag)
+        empty[:, j] = (digest[:, a] | digest[:, b]) == 0
+    return out, owner, empty
 
 
 def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """All signatures of the sets and the index of the set that each belongs to.
 
-    Empty slots would be one bucket for many unlike sets, so a set whose two
-    slots are empty gives, in that signature's place, those of a fresh
-    partition that only such sets share.
+    Two empty slots would be one bucket for many unlike sets. There are
+    ``spare`` parts more than a pair of similar sets needs, so a set with
+    empty slot pairs in no more parts than that leaves them out. Where both
+    sets of a pair have more, both also give signatures of a second partition,
+    in which empty slots count if there are too many again.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     band = bands.of(sizes)
     entries = [(i, j) for i, b in enumerate(band) if sizes[i] for j in (b, b - 1) if j >= 0 and bands.parts[j]]
     if not entries:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    which = np.array([i for i, _ in entries])
-    instance = np.array([j for _, j in entries])
+    which, instance = (np.array(x) for x in zip(*entries, strict=True))
     found, owners = [], []
-    chosen, parts, salts = [sets[i] for i in which], bands.parts[instance], mix64(instance.astype(np.uint64) + _ODD[45])
-    for depth in range(2):
+    for second in (False, True):
+        chosen = [np.sort(mix64(sets[i] ^ _ODD[46])) if second else sets[i] for i in which]
         starts = np.concatenate([[0], np.cumsum([len(s) for s in chosen])])
-        sigs, owner, empty = _slot_signatures(np.concatenate(chosen), starts, parts, salts)
-        again = empty if depth == 0 else np.zeros(len(sigs), bool)
-        found.append(sigs[~again])
-        owners.append(which[owner[~again]])
-        if not again.any():
+        salts = mix64(instance.astype(np.uint64) + _ODD[47 if second else 45])
+        sigs, owner, empty = _slot_signatures(np.concatenate(chosen), starts, bands.parts[instance], salts)
+        sparse = np.bincount(owner[empty.any(axis=1)], minlength=len(which)) > bands.spare[instance]
+        kept = ~empty | sparse[owner][:, None] if second else ~empty
+        found.append(sigs[kept])
+        owners.append(which[np.broadcast_to(owner[:, None], kept.shape)[kept]])
+        which, instance = which[sparse], instance[sparse]
+        if not len(which):
             break
-        back, salts = owner[again], sigs[again]
-        chosen = [np.sort(mix64(chosen[i] ^ s)) for i, s in zip(back, salts, strict=True)]
-        which, parts = which[back], parts[back]
     return np.concatenate(found), np.concatenate(owners)
 
 
@@ -176,7 +181,8 @@ def _buckets(docs: DataFrame, size: int, bands: Bands, shards: int) -> DataFrame
             keep = n[a:b] == pivot[a:b]
             table, at = np.unique(n[a:b][keep], return_inverse=True)
             inner = np.column_stack([s[a:b].view(np.int64), n[a:b], pivot[a:b]])[several[a:b]]
-            rows.append((shard, pack_sorted(s[a:b][keep]), table.tobytes(), at.astype(np.uint32).tobytes(), inner.tobytes()))
+            place = at.astype(np.uint16 if len(table) <= 1 << 16 else np.uint32)
+            rows.append((shard, pack_sorted(s[a:b][keep]), table.tobytes(), place.tobytes(), inner.tobytes()))
         names = ["shard", "sigs", "nodes", "place", "inner"]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 4, strict=True)], names)
 
@@ -196,11 +202,12 @@ def _buckets(docs: DataFrame, size: int, bands: Bands, shards: int) -> DataFrame
         if held:
             yield from flush(sigs, nodes)
 
-    def gather(table: pa.Table) -> pa.Table:
+    def gather(group: pa.Table) -> pa.Table:
         sigs, nodes, inner = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty((0, 3), np.int64)]
-        for row in table.drop_columns(["shard"]).to_pylist():
+        for row in group.drop_columns(["shard"]).to_pylist():
             sigs.append(unpack_sorted(row["sigs"]))
-            nodes.append(np.frombuffer(row["nodes"], np.int64)[np.frombuffer(row["place"], np.uint32)])
+            table = np.frombuffer(row["nodes"], np.int64)
+            nodes.append(table[np.frombuffer(row["place"], np.uint16 if len(table) <= 1 << 16 else np.uint32)])
             inner.append(np.frombuffer(row["inner"], np.int64).reshape(-1, 3))
         s, n, pivot, several = _runs(np.concatenate(sigs), np.concatenate(nodes))
         rows = np.concatenate([np.column_stack([s.view(np.int64), n, pivot])[several], *inner])

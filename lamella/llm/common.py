@@ -27,6 +27,13 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def filter_scans(spark: SparkSession) -> None:
+    """Let the optimizer put a Bloom filter of a small side's keys before the shuffle of a large scan of any size."""
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", True)
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1m")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "64m")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a new local one only where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,8 +47,23 @@ def scratch_root(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Folders that this process has named in the scratch folder.
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/lamella-{label}-{uuid.uuid4().hex}"
+    _MADE.append(f"{scratch_root(spark)}/lamella-{label}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete this process's scratch tables and archives, once no result that reads them is needed any more."""
+    made, _MADE[:] = list(_MADE), []
+    gone = 0
+    for path in made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        gone += where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return gone
 
 
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:
@@ -88,10 +110,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX1
     x = (x ^ (x >> np.uint64(27))) * _MIX2
     return x ^ (x >> np.uint64(31))
-
-
-def any_of(columns: Iterable) -> F.Column:
-    out = F.lit(False)
-    for c in columns:
-        out = out | c
-    return out

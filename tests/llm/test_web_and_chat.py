@@ -173,3 +173,13 @@ def test_queries_with_sql_match_it(spark):
         assert sorted(got.columns) == sorted(want.columns), name
         order = [list(want.columns).index(c) for c in got.columns]
         assert sorted([plain(v) for v in r] for r in got.collect()) == sorted([plain(r[i]) for i in order] for r in want.fetchall()), name
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    from lamella.llm import common
+
+    path = common.scratch_path(spark, "test-drop")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    assert common.drop_scratch(spark) >= 1 and not os.path.exists(path.removeprefix("file://").removeprefix("file:"))
+    assert common.scratch_root(spark) == common.scratch_root(spark)

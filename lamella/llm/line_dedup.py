@@ -1,6 +1,6 @@
 """Fuzzy line deduplication with SQL expressions only.
 
-Lines are normalised and made distinct. A distinct line gets a 64-bit SimHash
+Lines are normalised and made distinct. A distinct line gets a 63-bit SimHash
 of its words. SimHashes within ``DISTANCE`` bits agree on all but three of
 their blocks, so distinct SimHashes are joined on every choice of the others;
 lines of joined SimHashes are compared by edit distance, and of each connected
@@ -182,9 +182,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, removed, kept_in): for each document that loses lines, their places and the documents that keep them.
 
     A line takes part if it has ``least_words`` words; shorter ones always
-    stay. Lines are compared in lower case and without outer blanks. Two lines are linked when their SimHashes differ in at
-    most three bits and their edit distance is at most 100 - ``percent`` % of
-    the longer one. Of a connected group, the occurrence with the least id,
+    stay. Lines are compared in lower case and without outer blanks. Two lines
+    are linked when their SimHashes differ in at most three bits and their edit
+    distance is at most 100 - ``percent`` % of the longer one. Of a connected group, the occurrence with the least id,
     then place, stays. Null and empty texts and rows with a null id lose
     nothing. Rows that share an id are one document: they lose the same
     places. Lines may have any length; equal ones are joined by a 64-bit hash.

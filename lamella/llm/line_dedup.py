@@ -30,13 +30,17 @@ FEATURE = 6
 BANDS = (24, 80)
 
 
-def _occurrences(docs: DataFrame, least_words: int) -> DataFrame:
-    """(id, pos, norm) of the lines that take part, in lower case and without outer blanks.
+def normal_lines(text: Column) -> Column:
+    """The lines of a text in lower case, of letters, marks, digits and single spaces; any run of other ASCII blanks is a space."""
+    known = F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D]+", "")
+    return F.split(F.regexp_replace(known, r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*| [\x20\x09\x0B-\x0D]+", " "), "\n", -1)
 
-    Only byte-wise functions: every character of the corpus comes by here twice.
-    """
-    lines = docs.filter("id is not null").select("id", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("pos", "raw"))
+
+def _occurrences(docs: DataFrame, least_words: int) -> DataFrame:
+    """(id, pos, norm) of the lines that take part."""
+    lines = docs.filter("id is not null").select("id", F.posexplode(normal_lines(F.col("text"))).alias("pos", "raw"))
     norm = lines.select("id", "pos", F.trim("raw").alias("norm"))
+    # A normal line of n words has n - 1 spaces.
     return norm.filter(F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) >= least_words - 1)
 
 
@@ -182,10 +186,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, removed, kept_in): for each document that loses lines, their places and the documents that keep them.
 
     A line takes part if it has ``least_words`` words; shorter ones always
-    stay. Lines are compared in lower case and without outer blanks. Two lines
-    are linked when their SimHashes differ in at most three bits and their edit
-    distance is at most 100 - ``percent`` % of the longer one. Of a connected group, the occurrence with the least id,
-    then place, stays. Null and empty texts and rows with a null id lose
+    stay. Lines are compared in lower case, without anything but letters, marks
+    and digits, and with single spaces for blanks. Two lines are linked when
+    their SimHashes differ in at most three bits and their edit distance is at
+    most 100 - ``percent`` % of the longer one. Of a connected group, the
+    occurrence with the least id, then place, stays. Null and empty texts and rows with a null id lose
     nothing. Rows that share an id are one document: they lose the same
     places. Lines may have any length; equal ones are joined by a 64-bit hash.
     """

@@ -160,6 +160,18 @@ def test_line_dedup_odd_tables(spark):
     assert line_dedup.removed_lines(df.limit(0)).count() == 0 and line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_are_equal_without_punctuation_and_blanks(spark):
+    line = "one two three four five six"
+    same = ["One two, three four five six.", line + "\r", "one\ttwo  three \x0b four\x0cfive six", " - one two three - four five six!", "\u201cone two three four five six\u201d"]
+    other = ["one two three four five sixe\u0301", "a - b - c - d", "1 2 3 4 5", "1 2 3 4 6"]
+    texts = [line, *same, *other, "1, 2, 3, 4, 5"]
+    df = spark.createDataFrame([("\n".join(x.replace("\n", " ") for x in texts),)], "raw string")
+    got = df.select(line_dedup.normal_lines(F.col("raw"))).first()[0]
+    assert [x.strip() for x in got[:6]] == [line] * 6 and got[6:] == ["one two three four five sixe\u0301", "a b c d", "1 2 3 4 5", "1 2 3 4 6", "1 2 3 4 5"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([line, *same])], "doc_id long, text string")
+    assert {r.doc_id: (r.removed, r.kept_in) for r in line_dedup.removed_lines(rows).collect()} == {i: ([0], [0]) for i in range(1, 6)}
+
+
 def test_any_number_of_blocks_is_lossless(spark, monkeypatch):
     rng = random.Random(8)
     values = {rng.getrandbits(63) for _ in range(300)}

@@ -7,7 +7,9 @@ distance, as walks that an edit has parted meet again. Here symbols are words.
 Samples of a few embedding positions are the keys of several hash tables. A
 walk starts at every second word of a text and at every word of an item, so a
 passage with edits is tried once for each alignment, walk and table, and one
-agreement is enough. Each candidate is then checked by exact edit distance of
+agreement is enough. Walks are too long for items of a few words: these are cut
+into one piece more than the edits that they may have, so that some piece is
+found as it is, from every word of a text on. Each candidate is then checked by exact edit distance of
 the whole item to the best passage of the text around it.
 """
 
@@ -32,6 +34,8 @@ STEPS = max(s for s, _ in TABLES)
 _SEEDS = mix64(np.arange(701, 701 + WALKS, dtype=np.uint64))
 _ODD = mix64(np.arange(801, 833, dtype=np.uint64)) | np.uint64(1)
 _FILTER_BITS = 20
+#: Items of fewer words are searched by pieces, which finds all of them, and not by walks.
+SHORT = 15
 
 
 def words_for_edit(text: str | None) -> list[bytes]:
@@ -72,6 +76,16 @@ def walk_keys(symbols: np.ndarray, starts: np.ndarray, walk: int) -> tuple[list[
     return [mix64(k + _ODD[t + 8]) for t, k in enumerate(keys)], last
 
 
+def window_keys(symbols: np.ndarray, starts: np.ndarray, widths: Sequence[int]) -> dict[int, np.ndarray]:
+    """For each width, the key of so many words from every start on; SHORT places must follow the last start."""
+    keys, key = {}, np.zeros(len(starts), np.uint64)
+    for j in range(max(widths, default=0)):
+        key = mix64(key * _ODD[16] + symbols[starts + j])
+        if j + 1 in widths:
+            keys[j + 1] = key
+    return keys
+
+
 def best_passage(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     """Least edit distance of the item to any stretch of the passage, and where that stretch ends."""
     ramp = np.arange(len(passage) + 1)
@@ -86,16 +100,21 @@ def best_passage(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 
 class ItemIndex:
-    """Keys of all walk starts of a bounded set of items."""
+    """Keys of all walk starts of a bounded set of items, and of the pieces of the short ones."""
 
-    def __init__(self, ids: Sequence, words: Sequence[np.ndarray]) -> None:
+    def __init__(self, ids: Sequence, words: Sequence[np.ndarray], percent: int = 80, least_words: int = 6) -> None:
         self.ids, self.words = list(ids), list(words)
+        #: Most edits of each item; none where it has fewer than ``least_words`` words.
+        self.slack = np.array([len(w) * (100 - percent) // 100 if len(w) >= least_words else 0 for w in words], np.int64)
+        self.pieces = self._pieces()
         gap = np.zeros(STEPS + 1, np.uint64)
         symbols = np.concatenate([x for w in words for x in (w, gap)] or [gap])
         sizes = np.array([len(w) for w in words], np.int64)
         begin = np.concatenate([[0], np.cumsum(sizes + len(gap))])[:-1]
         item = np.repeat(np.arange(len(sizes)), sizes)
         offset = np.arange(len(item)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        walks = sizes[item] >= SHORT
+        item, offset = item[walks], offset[walks]
         starts = begin[item] + offset
         self.tables = []
         for walk in range(WALKS):
@@ -108,22 +127,48 @@ class ItemIndex:
                 seen[sorted_keys >> np.uint64(64 - _FILTER_BITS)] = True
                 self.tables.append((sorted_keys, item[inside][order], offset[inside][order], seen))
 
+    def _pieces(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By width, the table of all pieces of short items: an item of k edits at most has k + 1 of them."""
+        rows: dict[int, list[tuple[int, int, int]]] = {}
+        for i, w in enumerate(self.words):
+            if 0 < len(w) < SHORT:
+                parts = min(int(self.slack[i]) + 1, len(w))
+                cuts = [len(w) * p // parts for p in range(parts + 1)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    rows.setdefault(b - a, []).append((int(window_keys(w[a:b], np.zeros(1, np.int64), [b - a])[b - a][0]), i, a))
+        tables = {}
+        for width, found in rows.items():
+            found.sort()
+            known = np.array([x[0] for x in found], np.uint64)
+            seen = np.zeros(1 << _FILTER_BITS, bool)
+            seen[known >> np.uint64(64 - _FILTER_BITS)] = True
+            tables[width] = (known, *(np.array([x[c] for x in found], np.int64) for c in (1, 2)), seen)
+        return tables
+
     def candidates(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Rows (item, place of its first word in ``symbols``) that some table agrees on."""
+        """Rows (item, place of its first word in ``symbols``) that some walk's table agrees on."""
         found = [np.empty((0, 2), np.int64)]
         for walk in range(WALKS):
             keys, _ = walk_keys(symbols, starts, walk)
-            for t, k in enumerate(keys):
-                known, item, offset, seen = self.tables[walk * len(TABLES) + t]
-                maybe = np.flatnonzero(seen[k >> np.uint64(64 - _FILTER_BITS)])
-                lo, hi = np.searchsorted(known, k[maybe], "left"), np.searchsorted(known, k[maybe], "right")
-                times = hi - lo
-                which = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                found.append(np.column_stack([item[which], np.repeat(starts[maybe], times) - offset[which]]))
+            found += [_agreeing(self.tables[walk * len(TABLES) + t], k, starts) for t, k in enumerate(keys)]
         return np.concatenate(found)
 
+    def short_candidates(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The same by pieces of short items."""
+        keys = window_keys(symbols, starts, list(self.pieces))
+        return np.concatenate([np.empty((0, 2), np.int64), *(_agreeing(self.pieces[width], k, starts) for width, k in keys.items())])
+
 
-def scan(texts: Sequence[str | None], index: ItemIndex, percent: int, hashes: WordHashes) -> Iterator[tuple[int, int, int, int, int]]:
+def _agreeing(table: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], k: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    known, item, offset, seen = table
+    maybe = np.flatnonzero(seen[k >> np.uint64(64 - _FILTER_BITS)])
+    lo, hi = np.searchsorted(known, k[maybe], "left"), np.searchsorted(known, k[maybe], "right")
+    times = hi - lo
+    which = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    return np.column_stack([item[which], np.repeat(starts[maybe], times) - offset[which]])
+
+
+def scan(texts: Sequence[str | None], index: ItemIndex, hashes: WordHashes) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, first word, end word, distance): the best passage of each text and item that are close enough."""
     gap = np.zeros(STEPS + 1, np.uint64)
     docs = [np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)) for w in map(words_for_edit, texts)]
@@ -133,10 +178,12 @@ def scan(texts: Sequence[str | None], index: ItemIndex, percent: int, hashes: Wo
     starts = np.concatenate([np.arange(b, b + n, STRIDE) for b, n in zip(begin, sizes, strict=True)] or [np.empty(0, np.int64)])
     # Pieces of the starts that stay in the processor's cache while they walk.
     parts = [index.candidates(symbols, starts[i : i + (1 << 17)]) for i in range(0, len(starts), 1 << 17)]
+    if index.pieces and len(starts):
+        every = np.concatenate([np.arange(b, b + n) for b, n in zip(begin, sizes, strict=True)])
+        parts += [index.short_candidates(symbols, every[i : i + (1 << 17)]) for i in range(0, len(every), 1 << 17)]
     if not parts or not (cand := np.concatenate(parts)).size:
         return
-    n = np.array([len(w) for w in index.words], np.int64)
-    slack = n * (100 - percent) // 100
+    slack = index.slack
     # The first word may be before the text's start by as many words as can be missing.
     text = np.searchsorted(begin, cand[:, 1] + slack[cand[:, 0]], "right") - 1
     order = np.lexsort((cand[:, 1], cand[:, 0], text))
@@ -147,6 +194,9 @@ def scan(texts: Sequence[str | None], index: ItemIndex, percent: int, hashes: Wo
         # A candidate within the slack of the one before has the same stretch of text, which is searched once.
         if done is not None and done[:2] == (d, i) and at - done[2] <= max(1, most // 2):
             continue
+        # Nothing is closer than an exact copy.
+        if best.get((d, i), (1,))[0] == 0:
+            continue
         done = (d, i, at)
         a = max(int(begin[d]), at - 2 * most - 2)
         passage = symbols[a : min(int(begin[d] + sizes[d]), at + len(item) + 2 * most + 2)]
@@ -177,8 +227,9 @@ def contaminated(
     A document holds an item if some stretch of its words is within
     (100 - ``percent``) % of the item's words by edit distance; words are
     compared without case and punctuation. Of several stretches, the closest
-    is named. Items of fewer than ``least_words`` words can't be told from
-    chance and are not searched; null and empty texts hold nothing. The items
+    is named. Items of fewer than ``least_words`` words are held by documents
+    with an exact copy only, so an item of one word by all that have the word;
+    null and empty texts hold nothing and items without words aren't searched. The items
     are searched in as many passes over the documents as keep each pass's
     index to about ``most_words`` words, so what is broadcast doesn't grow
     with the benchmark. Repeated rows give repeated results; items with equal
@@ -195,14 +246,14 @@ def contaminated(
     for k in range(passes):
         part = wanted.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).toArrow()
         hashes = WordHashes()
-        pairs = [(i, np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))) for i, t in zip(part.column("item").to_pylist(), part.column("text").to_pylist(), strict=True) if len(w := words_for_edit(t)) >= least_words]
-        index = spark.sparkContext.broadcast(ItemIndex([i for i, _ in pairs], [w for _, w in pairs]))
+        pairs = [(i, np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))) for i, t in zip(part.column("item").to_pylist(), part.column("text").to_pylist(), strict=True) if (w := words_for_edit(t))]
+        index = spark.sparkContext.broadcast(ItemIndex([i for i, _ in pairs], [w for _, w in pairs], percent, least_words))
         arrow = part.column("item").type
 
         def run(batches: Iterable[pa.RecordBatch], index=index, arrow=arrow) -> Iterator[pa.RecordBatch]:
             known, names = WordHashes(), ["id", "item", "first_word", "end_word", "distance", "item_words"]
             for batch in batches:
-                hits = list(scan(batch.column("text").to_pylist(), index.value, percent, known))
+                hits = list(scan(batch.column("text").to_pylist(), index.value, known))
                 ids = batch.column("id").take(pa.array([h[0] for h in hits], pa.int64()))
                 which = [h[1] for h in hits]
                 numbers = [pa.array([h[c] for h in hits], pa.int32()) for c in (2, 3, 4)]

@@ -236,6 +236,34 @@ def test_decontamination_recall_and_precision(spark, items):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in got}
 
 
+def test_decontamination_recall_by_item_length():
+    rng, hashes = random.Random(13), ngram_jaccard.WordHashes()
+    for n in range(1, 21):
+        items = [prose(rng, n) for _ in range(12)]
+        texts = []
+        for d in range(48):
+            text, copy = prose(rng, 30).split(), items[d % 12]
+            if n >= 6 and d % 4:
+                copy = edited(rng, copy, n // 5)
+            text[d % 31 : d % 31] = copy.split()
+            texts.append(" ".join(text))
+        coded = [np.array([hashes[w] for w in decontamination.words_for_edit(x)], np.uint64) for x in items]
+        index = decontamination.ItemIndex(range(12), coded)
+        got = {(d, i): distance for d, i, _, _, distance in decontamination.scan(texts, index, hashes)}
+        plain = [np.array([hashes[w] for w in decontamination.words_for_edit(x)], np.uint64) for x in texts]
+        best = {(d, i): decontamination.best_passage(v, w)[0] for d, w in enumerate(plain) for i, v in enumerate(coded)}
+        want = {k: x for k, x in best.items() if x <= (n // 5 if n >= 6 else 0)}
+        assert len(want) >= 48 and got.keys() <= want.keys(), n
+        assert (got == want if n < decontamination.SHORT else len(got) >= 0.9 * len(want)), (n, len(got), len(want))
+
+
+def test_short_items_are_found_as_they_are(spark):
+    df = spark.createDataFrame([(1, "pad What is two plus two? pad"), (2, "what is two minus two"), (3, "Yes."), (4, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "What is two plus two"), (2, "yes"), (3, "?"), (4, None)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.first_word, r.end_word, r.distance) for r in decontamination.contaminated(df, bench).collect())
+    assert got == [(1, 1, 1, 6, 0), (3, 2, 0, 1, 0)]
+
+
 def test_decontamination_odd_rows(spark, items):
     text = items[0][1]
     rows = [(1, None), (2, ""), (3, text), (3, text), (None, "x " + text), (4, "pad " * 40000 + text + " pad" * 10)]

@@ -15,7 +15,7 @@ from lamella.llm.common import scratch_path
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the certified cutoffs of their language."""
-    return quality_rules.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rules.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), joint=True)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

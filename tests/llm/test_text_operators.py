@@ -127,6 +127,18 @@ def test_quality_cutoffs_keep_their_promise(spark):
     assert few.filter("not kept and not base_failed").count() == 0  # nothing can be certified from 20 labels
 
 
+def test_few_labels_certify_rules_jointly(spark):
+    good, bad = (" ".join(f"{mark}w{i}" for i in range(30)) for mark in ("", "####"))
+    rows = [(i, good, lang, 1) for lang, a, n in (("de", 0, 90), ("fr", 1000, 60)) for i in range(a, a + n)] + [(2000, bad, "de", 0), (2001, bad, "fr", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    for delta, judged in ((0.05, {2000: False, 2001: True}), (1e-6, {2000: True, 2001: True})):
+        found = quality_rules.judge(df, df, joint=True, delta=delta).collect()
+        assert {r.doc_id: r.kept for r in found if r.doc_id >= 2000} == judged
+        assert all(r.kept for r in found if r.doc_id < 2000)
+        kept = quality_rules.keep(df, df, joint=True, delta=delta).select("doc_id").collect()
+        assert {r.doc_id for r in kept} == {r.doc_id for r in found if r.kept}
+
+
 def test_quality_of_nothing(docs, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality_rules.judge(docs.limit(0), labels).count() == 0

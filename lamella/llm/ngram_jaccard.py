@@ -10,10 +10,10 @@ similar sets of neighbouring bands share at least one, whatever their texts.
 Sets, not documents, are joined: copies are one node. Signatures travel packed
 (see ``packed``) and each map task keeps one node per signature, so a group of
 near copies of any size reaches a shard as one node per task. Within a bucket
-all nodes are compared with the least one; where the links found so far leave
-a bucket in several components, pairs across components are searched by how
-their members differ from a common centre (see ``_cross_pairs``), which loses
-no link and doesn't list the pairs of a group.
+all nodes are compared with the least one, its pivot; where the links found so
+far leave the others of a bucket in several components, pairs across
+components are searched by how their members differ from the pivot (see
+``_cross_pairs``), which loses no link and doesn't list the pairs of a group.
 """
 
 from __future__ import annotations
@@ -36,8 +36,6 @@ from lamella.llm.packed import pack_sorted, shard_slices, unpack_sorted
 SLOT_PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Signatures that a map task gathers before it sends them, and bytes of input per shard.
 FLUSH, SHARD_BYTES = 1 << 20, 64 << 20
-#: Width of the classes of distances from a centre.
-CLASS = 4
 _ODD = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _U32 = np.uint64(32)
 
@@ -257,78 +255,105 @@ def _texts_of(nodes: DataFrame, owned: DataFrame, docs: DataFrame, size: int) ->
     return materialise(map_batches(found, own, "node long, text string").dropDuplicates(["node"]), "jaccard-texts")
 
 
-def _deltas(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(family, node, label, n, most, delta): how each member's set differs from its family's centre.
+def _differences(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """``members`` (pivot, node, label, central) with how each one's set differs from its pivot's.
 
-    ``most`` is the largest difference that the member can have from a set
-    similar to it.
+    ``n`` is its size, ``far`` the elements it has and the pivot hasn't,
+    ``lost`` the most elements that a set similar to it can lack, ``most`` the
+    largest difference from such a set. It is ``near`` if its own elements are
+    no more than ``lost``; only then is ``delta``, its whole difference, given.
     """
     both = (
         members.join(texts.select("node", F.col("text").alias("text_x")), "node")
-        .join(texts.select(F.col("node").alias("centre"), F.col("text").alias("text_c")), "centre")
-        .select("family", "node", "label", "central", "text_x", "text_c")
+        .join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("text_c")), "pivot")
+        .select("pivot", "node", "label", "central", "text_x", "text_c")
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            rows = batch.select(["text_x", "text_c"]).to_pylist()
-            sets = [shingle_set(r["text_x"], size, hashes) for r in rows]
-            deltas = [np.setxor1d(x, shingle_set(r["text_c"], size, hashes), assume_unique=True).view(np.int64) for x, r in zip(sets, rows, strict=True)]
-            n = pa.array([len(x) for x in sets], pa.int64())
-            most = pa.array([len(x) * (100 - percent) // percent for x in sets], pa.int64())
-            kept = [batch.column(c) for c in ("family", "node", "label", "central")]
-            yield pa.RecordBatch.from_arrays([*kept, n, most, pa.array(deltas, pa.list_(pa.int64()))], ["family", "node", "label", "central", "n", "most", "delta"])
-
-    return both.mapInArrow(run, "family long, node long, label long, central boolean, n long, most long, delta array<long>")
+        hashes, recent = WordHashes(), OrderedDict()
 
+        def centre(pivot: int, text: str) -> np.ndarray:
+            if pivot not in recent:
+                recent[pivot] = shingle_set(text, size, hashes)
+                if len(recent) > 64:
+                    recent.popitem(last=False)
+            return recent[pivot]
 
-def _cross_pairs(buckets: DataFrame, pairs: DataFrame, links: DataFrame, roots: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+        for batch in batches:
+            n, lost, most, near, far, delta = [], [], [], [], [], []
+            for r in batch.select(["pivot", "text_x", "text_c"]).to_pylist():
+                x, c = shingle_set(r["text_x"], size, hashes), centre(r["pivot"], r["text_c"])
+                own = np.setdiff1d(x, c, assume_unique=True)
+                n.append(len(x))
+                lost.append(len(x) * (100 - percent) // 100)
+                most.append(len(x) * (100 - percent) // percent)
+                near.append(len(own) <= lost[-1])
+                far.append(own.view(np.int64))
+                delta.append(np.setxor1d(x, c, assume_unique=True).view(np.int64) if near[-1] else None)
+            numbers = [pa.array(x, pa.int64()) for x in (n, lost, most)]
+            arrays = [pa.array(x, pa.list_(pa.int64())) for x in (far, delta)]
+            kept = [batch.column(c) for c in ("pivot", "node", "label", "central")]
+            yield pa.RecordBatch.from_arrays([*kept, *numbers, pa.array(near, pa.bool_()), *arrays], ["pivot", "node", "label", "central", "n", "lost", "most", "near", "far", "delta"])
+
+    schema = "pivot long, node long, label long, central boolean, n long, lost long, most long, near boolean, far array<long>, delta array<long>"
+    return both.mapInArrow(run, schema)
+
+
+def _numbered(elements: DataFrame) -> DataFrame:
+    """Rows (pivot, node, e) that another node of the pivot has too, with each node's ``place``, rarest first, and number of them, ``common``."""
+    shared = elements.groupBy("pivot", "e").agg(F.count("*").alias("times")).filter("times > 1")
+    own = Window.partitionBy("pivot", "node")
+    return elements.join(shared, ["pivot", "e"]).withColumns({"place": F.row_number().over(own.orderBy("times", "e")), "common": F.count("*").over(own)}).drop("times")
+
+
+def _cross_pairs(buckets: DataFrame, pairs: DataFrame, roots: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Untested pairs (a, b) of different components that share a bucket and can be similar.
 
-    Buckets whose members are in several components form families. A family
-    has a centre, and x and y differ in d(x) + d(y) - 2 c elements, where d is
-    the size of a member's difference from the centre and c what these
-    differences have in common. So pairs that are similar have a c of at least
-    (d(x) + d(y) - most) / 2, and need a common element among the rarest of
-    their differences unless both are next to the centre. Elements that only
-    one member has are in no overlap. This leaves few pairs of a family of
-    near copies, where comparing all would grow with its square.
+    Every member of a bucket has been compared with its pivot, so a bucket is
+    open only if its other members are in several components. All open members
+    of one pivot are searched together, those in the pivot's own component only
+    as partners of others. A set has at most ``lost`` elements that a similar
+    one lacks. So a member with more than that which the pivot lacks shares one
+    of its ``lost`` + 1 rarest with all that are similar to it. Where neither of
+    two has so many, they differ in d(x) + d(y) - 2 c elements, where d is the
+    size of a difference from the pivot and c what these differences have in
+    common: they need a common element among the rarest of their differences
+    unless both are next to the pivot. So neither a passage that many sets
+    share nor a group of near copies is compared pair by pair, and no link is
+    lost.
     """
     label = F.coalesce("root", "node")
-    labelled = buckets.join(roots, "node", "left").select("sig", "node", "pivot", label.alias("label"))
-    mixed = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
-    open_ = materialise(labelled.join(mixed, "sig").select("node", "pivot", "label").distinct(), "jaccard-open")
-    families = materialise(connected_components(open_.select(F.col("node").alias("a"), F.col("pivot").alias("b"))), "jaccard-families")
-    family = F.coalesce("root", "node").alias("family")
-    members = open_.select("node", "label").distinct().join(families, "node", "left").select("node", "label", family)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    ranked = members.join(degree, "node", "left").fillna(0, ["links"])
-    centres = ranked.groupBy("family").agg(F.max_by(F.struct("node", "label"), F.struct("links", "node")).alias("c"))
-    members = members.join(centres, "family").select("family", "node", "label", F.col("c.node").alias("centre"), (F.col("label") == F.col("c.label")).alias("central"))
-    found = materialise(_deltas(members, texts, size, percent).withColumn("d", F.size("delta").cast("long")), "jaccard-deltas")
-
-    elements = found.select("family", "node", F.explode("delta").alias("e"))
-    shared = elements.groupBy("family", "e").agg(F.count("*").alias("times")).filter("times > 1")
-    rarest = Window.partitionBy("family", "node").orderBy("times", "e")
-    numbered = elements.join(shared, ["family", "e"]).withColumn("place", F.row_number().over(rarest)).withColumn("common", F.count("*").over(Window.partitionBy("family", "node")))
-    facts = found.select("family", "node", "label", "n", "most", "d")
-    # A partner whose d is in class t (t * CLASS and up) has at least (d + t * CLASS - most) / 2 elements in common,
-    # so an element at this place has to be looked up for classes up to the one where it leaves the prefix.
-    last = f"floor((2 * (common - place + 1) - d + most) / {CLASS})"
-    ends = numbered.join(facts, ["family", "node"]).selectExpr(
-        "*", f"d div {CLASS} as own", f"greatest(d - most, 0L) div {CLASS} as lo", f"least((d + most) div {CLASS}, {last}) as hi"
-    )
-    prefix = ends.filter("lo <= hi").withColumn("target", F.explode(F.sequence("lo", "hi"))).drop("place", "times", "lo", "hi")
-    prefix = materialise(prefix, "jaccard-prefix")
-    can = f"l.label <> r.label and least(l.n, r.n) * 100 >= greatest(l.n, r.n) * {percent} and abs(l.d - r.d) <= least(l.most, r.most)"
-    overlap = "l.node < r.node and l.d + r.d - least(l.most, r.most) <= 2 * least(l.common, r.common)"
-    keys = "l.family = r.family and l.e = r.e and l.own = r.target and l.target = r.own"
-    far = prefix.alias("l").join(prefix.alias("r"), F.expr(f"{keys} and {overlap} and {can}"))
-    near = found.filter("d <= most").select("family", "node", "label", "central", "n", "most", "d")
-    next_to = near.filter("not central").alias("l").join(near.alias("r"), F.expr(f"l.family = r.family and l.d + r.d <= least(l.most, r.most) and {can}"))
-    both = [x.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")) for x in (far, next_to)]
-    return both[0].unionByName(both[1]).distinct().join(pairs, ["a", "b"], "left_anti")
+    others = buckets.filter("node <> pivot").join(roots, "node", "left").select("sig", "node", "pivot", label.alias("label"))
+    mixed = others.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
+    open_ = materialise(others.join(mixed, "sig").select("node", "pivot", "label").distinct(), "jaccard-open")
+    named = roots.select(F.col("node").alias("of"), "root")
+    members = open_.join(named, F.col("pivot") == F.col("of"), "left").select("pivot", "node", "label", (F.col("label") == F.coalesce("root", "pivot")).alias("central"))
+    found = materialise(_differences(members, texts, size, percent), "jaccard-differences")
+    facts = found.select("pivot", "node", "label", "central", "n", "lost", "most", "near", F.size("far").alias("own"), F.when(F.col("near"), F.size("delta")).cast("long").alias("d"))
+    can = f"l.label <> r.label and least(l.n, r.n) * 100 >= greatest(l.n, r.n) * {percent}"
+
+    rare = _numbered(found.select("pivot", "node", F.explode("far").alias("e"))).join(facts, ["pivot", "node"])
+    # Elements that no other member has come before those counted by ``place``.
+    posted = rare.withColumn("spot", F.expr("place + own - common")).filter("near or spot <= lost + 1")
+    posted = materialise(posted.selectExpr("pivot", "node", "e", "label", "central", "n", "near", "own", "spot", "common - place as after"), "jaccard-posted")
+    # Similar sets of these sizes have ``both`` elements in common at least, so each lacks n - both at most: the first
+    # element that two have in common is among so many and one, and enough others follow in both.
+    both = f"ceil({percent} * (l.n + r.n) / {100 + percent})"
+    early = " and ".join(f"{x}.spot <= {x}.n - {both} + 1" for x in "lr")
+    enough = f"1 + least(l.after, r.after) >= greatest(l.own - l.n, r.own - r.n) + {both}"
+    apart = posted.filter("not central").alias("l").join(posted.alias("r"), F.expr(f"l.pivot = r.pivot and l.e = r.e and not (l.near and r.near) and {can} and {early} and {enough}"))
+
+    close = facts.filter("near").drop("near", "lost", "own")
+    ends = _numbered(found.filter("near").select("pivot", "node", F.explode("delta").alias("e"))).join(close, ["pivot", "node"])
+    # A partner's d is d - most at least, so d - most elements at least are in common.
+    prefix = materialise(ends.filter("place <= common - greatest(1, d - most) + 1").withColumn("after", F.expr("common - place")), "jaccard-prefix")
+    fits = f"{can} and abs(l.d - r.d) <= least(l.most, r.most)"
+    overlap = "2 + 2 * least(l.after, r.after) >= l.d + r.d - least(l.most, r.most)"
+    beside = prefix.filter("not central").alias("l").join(prefix.alias("r"), F.expr(f"l.pivot = r.pivot and l.e = r.e and {overlap} and {fits}"))
+    next_to = close.filter("d <= most")
+    touching = next_to.filter("not central").alias("l").join(next_to.alias("r"), F.expr(f"l.pivot = r.pivot and l.d + r.d <= least(l.most, r.most) and {fits}"))
+    found = [x.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct() for x in (apart, beside, touching)]
+    return found[0].unionByName(found[1]).unionByName(found[2]).distinct().join(pairs, ["a", "b"], "left_anti")
 
 
 def join_components(
@@ -366,7 +391,7 @@ def join_components(
     links = materialise(_verified(pairs, texts, shingle_words, percent), "jaccard-links")
     roots = materialise(connected_components(links), "jaccard-roots")
 
-    cross = materialise(_cross_pairs(buckets, pairs, links, roots, texts, shingle_words, percent), "jaccard-cross")
+    cross = materialise(_cross_pairs(buckets, pairs, roots, texts, shingle_words, percent), "jaccard-cross")
     more = materialise(_verified(cross, texts, shingle_words, percent), "jaccard-more")
     if not more.isEmpty():
         roots = materialise(connected_components(links.unionByName(more)), "jaccard-roots")

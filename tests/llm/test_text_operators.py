@@ -182,6 +182,7 @@ def test_mixing_keeps_budget_and_limits(docs):
         for r in part:
             per_epoch[r.epoch] += r.n_tokens
         assert all(per_epoch[e] == total for e in range(whole)) and set(per_epoch) <= set(range(whole + 1))
+    assert sum(part[0].quota for part in by_source.values()) == math.floor(1.5 * sum(sizes[k] * n for k, n in Counter((r.doc_id, r.source) for r in docs.collect()).items()))
     assert None in by_source or not any(r.source is None and r.text for r in docs.collect())
     with pytest.raises(ValueError, match="repetition"):
         mixing.mix(docs, budget=5.0, repetition=4.0)
@@ -196,3 +197,33 @@ def test_mixing_exponent_meets_the_entropy(spark):
     assert abs(-sum(s * math.log(s) for s in shares) - 0.9 * math.log(3)) < 1e-6
     limited = mixing.solve_exponent(totals, 1110.0, 1.0, 2.0)
     assert abs(1110 * 10**limited / sum(t**limited for t in (1000, 100, 10)) / 10 - 2) < 1e-6
+
+
+def test_mixing_sharpens_shares_that_are_too_even(spark):
+    totals = spark.createDataFrame([(k, 1000 + i) for i, k in enumerate("abcdefgh")] + [("z", 1500)], "key string, total long")
+    alpha = mixing.solve_exponent(totals, 100.0, 0.9, 100.0)
+    shares = [t**alpha for t in [*range(1000, 1008), 1500]]
+    shares = [s / sum(shares) for s in shares]
+    assert alpha > 1 and abs(-sum(s * math.log(s) for s in shares) - 0.9 * math.log(9)) < 1e-6
+    # The largest source is repeated most there.
+    limited = mixing.solve_exponent(totals, 9528.0, 0.9, 2.0)
+    assert 1 < limited < alpha and abs(9528 / sum((t / 1500) ** limited for t in [*range(1000, 1008), 1500]) / 1500 - 2) < 1e-6
+    equal = totals.filter("key <> 'z'").withColumn("total", F.lit(50).cast("long"))
+    assert mixing.solve_exponent(equal, 100.0, 0.9, 100.0) == 1.0
+    ties = equal.unionByName(equal.limit(1).selectExpr("'y' as key", "3L as total"))
+    assert mixing.solve_exponent(ties, 100.0, 0.5, 100.0) == 1.0
+
+
+def test_mixing_quotas_are_whole_tokens_of_the_budget(spark):
+    # Equal and near-equal sources, rows without ids, repeated rows and columns with the operator's own names.
+    rows = [(i, f"s{i % 7}", "w " * 11) for i in range(70)] + [(None, "s0", f"a b {i}") for i in range(30)] + [(5, "s5", "w " * 11)] * 3 + [(200, "s1", "one")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({"key": F.lit("k"), "n": F.lit(0), "block": F.lit(1), "name": F.lit("x"), "total": F.lit(1)})
+    whole = sum(len(t.split()) for _, _, t in rows)
+    seen = []
+    for partitions in (1, 5):
+        got = mixing.mix(df.repartition(partitions), entropy=0.99, block_tokens=20).collect()
+        quota = {r.source: r.quota for r in got}
+        assert sum(quota.values()) == whole
+        assert len({r.block for r in got if r.doc_id is None}) > 3
+        seen.append(sorted((r.doc_id or -1, r.source, r.epoch, r.block, r.block_rank, r.n_tokens, r.quota, r.exponent) for r in got))
+    assert seen[0] == seen[1]

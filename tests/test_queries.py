@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -41,3 +45,15 @@ def test_query_matches_sql(spark, db, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("gone", [["lamella/llm"], ["lamella/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_entry_without_optional_parts(tmp_path, gone):
+    root = Path(__spark_entry__.__file__).parent
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "__pycache__", "tests", "*.json"))
+    for name in gone:
+        path = tmp_path / "copy" / name
+        shutil.rmtree(path) if path.is_dir() else path.unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); print(len(q), set(s) <= set(q), 'pipeline' in q)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) >= len(catalogue.queries()) and out[1:] == ["True", "False"]

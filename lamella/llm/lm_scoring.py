@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from lamella.llm.common import lower_words_of, materialise, mix64, parts_for, prepare
 from lamella.llm.packed import pack_sorted, shard_slices, unpack_sorted
 
-#: Bytes of text in one block (a longer text is a block of its own), and bytes of input per shard.
-BLOCK_BYTES, SHARD_BYTES = 6 << 20, 64 << 20
+#: Bytes of text in one block (a longer text is a block of its own), and bytes of stored blocks per shard.
+BLOCK_BYTES, SHARD_BYTES = 6 << 20, 16 << 20
+#: Blocks that a task walks, one after the other.
+BLOCKS_A_TASK = 2
 _ODD = mix64(np.arange(101, 133, dtype=np.uint64)) | np.uint64(1)
 END, START = 1, 2  # ids of the marks in a block; words follow
 DISCOUNT = 0.75
@@ -54,12 +56,13 @@ class Block:
         names[3:] = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in known), np.uint64, len(known))
         self.training = np.repeat(~held_out, self.lengths)
         self.ends = np.cumsum(self.lengths)
+        self.ids, self.names = ids, names
         word = names[ids]
-        first = self.ends - self.lengths
-        place = np.arange(total) - np.repeat(first, self.lengths)
-        #: For each order: the distinct keys, each token's n-gram among them, and training counts.
+        self.place = place = np.arange(total) - np.repeat(self.ends - self.lengths, self.lengths)
+        #: For each order: the distinct keys, each token's n-gram among them, a token that each ends at, and training counts.
         self.keys: list[np.ndarray] = []
         self.at: list[np.ndarray] = []
+        self.first: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         key = mix64(word * _ODD[0])
         for n in range(1, order + 1):
@@ -67,13 +70,11 @@ class Block:
                 # The word n - 1 places back; before a text's start, start marks.
                 back = np.where(place >= n - 1, np.roll(word, n - 1), names[START])
                 key = mix64(key + back * _ODD[n])
-            distinct, at_key = np.unique(key, return_inverse=True)
+            distinct, first, at_key = np.unique(key, return_index=True, return_inverse=True)
             self.keys.append(distinct)
             self.at.append(at_key)
+            self.first.append(first)
             self.counts.append(np.bincount(at_key[self.training], minlength=len(distinct)))
-        #: Keys of contexts that are shorter n-grams: the token before, with its own n - 1 words back.
-        self.before = np.where(place > 0, np.arange(total) - 1, -1)
-        self.documents = len(texts)
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -126,7 +127,7 @@ def _asked(blocks: DataFrame, order: int, shards: int) -> DataFrame:
     return blocks.select("block", "held_out", "texts").mapInArrow(run, "block long, shard int, n int, keys binary, counts binary")
 
 
-def _answered(asked: DataFrame) -> DataFrame:
+def _answered(asked: DataFrame, order: int, shards: int) -> DataFrame:
     """Rows (block, shard, n, counts, tokens, kinds): corpus counts in the order asked for.
 
     ``tokens`` and ``kinds`` are the training tokens and distinct n-grams of the
@@ -151,36 +152,99 @@ def _answered(asked: DataFrame) -> DataFrame:
         names = ["block", "shard", "n", "small", "large", "tokens", "kinds"]
         return pa.table({k: pa.array(c, t) for k, c, t in zip(names, zip(*out, strict=True), types, strict=True)})
 
-    return asked.groupBy("n", "shard").applyInArrow(count, "block long, shard int, n int, small binary, large binary, tokens long, kinds long")
+    # As many tasks as shards, so that a task's part doesn't grow with the corpus.
+    return asked.repartition(order * shards, "n", "shard").groupBy("n", "shard").applyInArrow(count, "block long, shard int, n int, small binary, large binary, tokens long, kinds long")
 
 
-def score_block(block: Block, counts: list[np.ndarray], tokens: int, kinds: int, starts: int, strength: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per document: known tokens, base score and model score.
+class Automaton:
+    """The part of the weighted backoff automaton that a block's texts can reach.
 
-    The walk is done for all of the block's positions at once. At a position,
-    the automaton's state is the longest context seen in training, so its arc
-    weight, or the product of failure weights down to the first state with an
-    arc, is what the left-to-right walk meets there; the sums are per document.
+    State 0 is the empty context, ``base[m] + i`` the block's i-th distinct
+    n-gram of m words and ``base[m]`` itself the context of m start marks (so
+    n-grams begin at ``base[m] + 1``). Only n-grams seen in training are
+    entered. An arc is found by state and word; where there is none, the
+    state's failure arc leads to the context without its first word. The empty
+    state takes words without an arc by one of their own, with the mass of all
+    unseen words.
     """
-    seen = [c[at] for c, at in zip(counts, block.at, strict=True)]
-    known = seen[0] > 0
-    base = np.log10((seen[0] + 1.0) / (tokens + kinds + 1.0))
-    if tokens:
-        # The empty state: discounted shares; the mass taken is that of all unseen words.
-        p = np.where(known, (seen[0] - DISCOUNT) / tokens, DISCOUNT * kinds / tokens)
-    else:
-        p = np.ones(len(known))
-    log_p = np.log(p)
-    for n in range(2, len(counts) + 1):
-        # c(context): how often training goes on from here. Contexts at a text's start are start marks.
-        context = np.where(block.before >= 0, seen[n - 2][block.before], starts)
-        mu = strength[n - 2]
-        arc = np.log((seen[n - 1] + mu * np.exp(log_p)) / (context + mu))
-        failure = np.log(mu / (context + mu))
-        # No such state (context 0): the walk is in a shorter one already, at no cost.
-        log_p = np.where(seen[n - 1] > 0, arc, failure + log_p)
-    per = [np.add.reduceat(x, block.ends - block.lengths) for x in (known.astype(np.int64), base, log_p / math.log(10))]
-    return per[0], per[1], per[2]
+
+    def __init__(self, block: Block, counts: list[np.ndarray], tokens: int, kinds: int, starts: int, strength: tuple[float, ...]) -> None:
+        order = len(counts)
+        base = np.cumsum([1, *(len(k) + 1 for k in block.keys[: order - 1])])  # base[m - 1]: contexts of m words
+        self.start = int(base[order - 2]) if order > 1 else 0
+        self.failure = np.zeros(base[-1] if order > 1 else 1, np.int64)
+        self.penalty = np.zeros(len(self.failure))
+        self.words = len(block.names)
+        self.unseen = math.log10(DISCOUNT * kinds / tokens) if tokens else 0.0
+        keys, weights, targets = [], [], []
+        shorter = np.empty(0)  # smoothed probabilities of the block's n-grams one word shorter
+        for n in range(1, order + 1):
+            seen, at, first = counts[n - 1], block.at[n - 1], block.first[n - 1]
+            if n == 1:
+                state = np.zeros(len(seen), np.int64)
+                p = np.where(seen > 0, (seen - DISCOUNT) / max(tokens, 1), DISCOUNT * kinds / tokens if tokens else 1.0)
+            else:
+                mu, before = strength[n - 2], block.at[n - 2]
+                context = np.where(block.place[first] > 0, before[first - 1] + 1, 0)
+                state = base[n - 2] + context
+                times = np.append(starts, counts[n - 2])[context] if len(first) else np.empty(0)
+                p = (seen + mu * shorter[before[first]]) / (times + mu)
+                # The contexts of n - 1 words: their failure arcs, whose weight is the mass left for words not seen there.
+                own = np.append(starts, counts[n - 2])
+                self.penalty[base[n - 2] : base[n - 2] + len(own)] = np.log10(mu / (own + mu))
+                if n > 2:
+                    back = block.at[n - 3][block.first[n - 2]]
+                    self.failure[base[n - 2] : base[n - 2] + len(own)] = base[n - 3] + np.append(0, back + 1)
+            arcs = np.flatnonzero(seen > 0)
+            keys.append(state[arcs] * self.words + block.ids[first[arcs]])
+            weights.append(np.log10(p[arcs]))
+            # On from there with the n-gram itself as context, or with its last order - 1 words.
+            m = min(n, order - 1)
+            targets.append(base[m - 1] + 1 + block.at[m - 1][first[arcs]] if m else np.zeros(len(arcs), np.int64))
+            shorter = p
+        sort = np.argsort(np.concatenate(keys), kind="stable")
+        self.keys, self.weights, self.targets = (np.concatenate(x)[sort] for x in (keys, weights, targets))
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From each state by each word: log10 of the probability, and the state reached."""
+        gained, reached = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        left = np.arange(len(state))
+        while len(left):
+            key = state * self.words + word
+            at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+            hit = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
+            gained[left[hit]] += self.weights[at[hit]]
+            reached[left[hit]] = self.targets[at[hit]]
+            lost = ~hit & (state == 0)
+            gained[left[lost]] += self.unseen
+            on = ~hit & ~lost
+            left, state, word = left[on], state[on], word[on]
+            gained[left] += self.penalty[state]
+            state = self.failure[state]
+        return gained, reached
+
+    def walk(self, block: Block) -> np.ndarray:
+        """log10 probability of each text: all texts are read from left to right in step, each with its own state."""
+        longest = np.argsort(-block.lengths, kind="stable")
+        lengths, begin = block.lengths[longest], (block.ends - block.lengths)[longest]
+        state, total = np.full(len(longest), self.start, np.int64), np.zeros(len(longest))
+        reading = len(lengths)
+        for t in range(int(lengths[0]) if reading else 0):
+            while lengths[reading - 1] <= t:
+                reading -= 1
+            gained, state = self.step(state[:reading], block.ids[begin[:reading] + t])
+            total[:reading] += gained
+        out = np.empty(len(total))
+        out[longest] = total
+        return out
+
+
+def score_block(block: Block, counts: list[np.ndarray], tokens: int, kinds: int, starts: int, strength: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per document: known tokens, base score and model score."""
+    seen = counts[0][block.at[0]]
+    base = np.log10((seen + 1.0) / (tokens + kinds + 1.0))
+    known, plain = (np.add.reduceat(x, block.ends - block.lengths) for x in ((seen > 0).astype(np.int64), base))
+    return known, plain, Automaton(block, counts, tokens, kinds, starts, strength).walk(block)
 
 
 def score(
@@ -206,10 +270,12 @@ def score(
     prepare(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     blocks = materialise(_blocks(rows), "lm-blocks")
-    answers = materialise(_answered(_asked(blocks, order, parts_for(rows, SHARD_BYTES, least=24))), "lm-counts")
+    shards = parts_for(blocks, SHARD_BYTES, least=24)
+    answers = materialise(_answered(_asked(blocks, order, shards), order, shards), "lm-counts")
     totals = answers.filter("n = 1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     tokens, kinds = int(totals[0]), int(totals[1])
-    starts = blocks.agg(F.coalesce(F.sum(F.size(F.filter("held_out", lambda x: ~x))), F.lit(0))).first()[0]
+    starts, n_blocks = blocks.agg(F.coalesce(F.sum(F.size(F.filter("held_out", lambda x: ~x))), F.lit(0)), F.count("*")).first()
+    tasks = max(8, -(-n_blocks // BLOCKS_A_TASK))
     id_type = rows.schema["id"].dataType.simpleString()
 
     def walk(table: pa.Table, given: pa.Table) -> pa.Table:
@@ -227,7 +293,7 @@ def score(
         columns = [ids, flags, block.lengths, known, np.full(n, tokens), base, model]
         return pa.table({k: pa.array(c) for k, c in zip(["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], columns, strict=True)})
 
-    walked = blocks.groupBy("block").cogroup(answers.groupBy("block"))
+    walked = blocks.repartition(tasks, "block").groupBy("block").cogroup(answers.repartition(tasks, "block").groupBy("block"))
     out = walked.applyInArrow(walk, f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
 

@@ -24,9 +24,10 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 
 def shard_slices(keys: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
-    """(shard, begin, end) of the non-empty shards of sorted keys; shard borders cut the key space evenly."""
-    borders = (np.arange(1, shards, dtype=object) * (1 << 64) // shards).astype(np.uint64)
-    cuts = [0, *np.searchsorted(keys, borders).tolist(), len(keys)]
-    for i in range(shards):
-        if cuts[i] < cuts[i + 1]:
-            yield i, cuts[i], cuts[i + 1]
+    """(shard, begin, end) of the non-empty shards of sorted keys; shard borders cut the key space evenly.
+
+    The work is that of the keys, however many shards there are.
+    """
+    of = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    begin = np.flatnonzero(np.diff(of, prepend=-1))
+    yield from zip(of[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)], strict=True)

@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,16 +61,29 @@ def test_lm_scores_are_those_of_the_walk(docs, order):
     assert sorted(want) == sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got)
 
 
-def test_lm_probabilities_sum_to_one(spark):
-    train = [(1, "a b a b c"), (2, "b c a")]
-    vocabulary = ["a", "b", "c", "zzz"]
-    rows = train + [(10 + i, f"a {w}") for i, w in enumerate(vocabulary)] + [(20, "a")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.score for r in lm_scoring.score(df, F.col("doc_id") >= 10).collect()}
-    single = lm_scoring.score(df, F.col("doc_id") >= 10, order=1).collect()
-    one = {r.doc_id: r.score for r in single}
-    end = one[20] - (one[10] - one[20])
-    assert abs(sum(10 ** (one[10 + i] - one[20]) for i in range(4)) + 10**end - 1) < 0.2 and all(x < 0 for x in got.values())
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_probabilities_sum_to_one(order):
+    rng = random.Random(order)
+    texts = [prose(rng, rng.randrange(0, 30)).encode() for _ in range(60)] + [b"", b"zzz never seen"]
+    held_out = np.arange(len(texts)) >= 55
+    block = lm_scoring.Block(texts, held_out, order)
+    tokens, kinds, starts = int(block.counts[0].sum()), int((block.counts[0] > 0).sum()), int((~held_out).sum())
+    machine = lm_scoring.Automaton(block, block.counts, tokens, kinds, starts, (60.0, 20.0, 10.0))
+    ids = block.ids[block.first[0]]
+    known, unknown = ids[block.counts[0] > 0], ids[block.counts[0] == 0]
+    assert len(unknown) and lm_scoring.END in known
+    # The states that the walks go through.
+    seen = {machine.start}
+    for d in range(len(texts)):
+        state = np.array([machine.start])
+        for w in block.ids[block.ends[d] - block.lengths[d] : block.ends[d] - 1]:
+            _, state = machine.step(state, np.array([w]))
+            seen.add(int(state[0]))
+    assert 0 in seen and (order == 1 or len(seen) > 50)
+    for state in seen:
+        gained, _ = machine.step(np.full(len(known), state), known)
+        lost, reached = machine.step(np.array([state]), unknown[:1])
+        assert abs((10**gained).sum() + 10 ** lost[0] - 1) < 1e-9 and reached[0] == 0
 
 
 def test_lm_without_rows_or_training(spark, docs):

@@ -254,8 +254,8 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Of pages with equal payloads of at least ``least_bytes`` bytes, the one
     with the largest id is a response and the others revisit it. A null html
     is an empty payload, a null URL has an empty key, a null id an empty
-    capture name and is always a response. Rows with equal ids and payloads
-    are separate records of one kind.
+    capture name and is always a response. Rows with equal ids are separate
+    records, judged by their own payloads.
     """
     spark: SparkSession = pages.sparkSession
     prepare(spark)
@@ -264,10 +264,12 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     narrow = rows.filter(F.octet_length("payload") >= least_bytes).select("id", F.sha1("payload").alias("digest"))
     # Hot digests: the aggregation is partial before the shuffle, and only narrow rows meet in the join.
     owners = narrow.groupBy("digest").agg(F.max("id").alias("owner"), F.count("*").alias("n")).filter("n > 1")
-    revisits = narrow.join(owners, "digest").filter("id <> owner").select(F.col("id").alias("of"), F.col("owner")).distinct()
-    named = rows.join(revisits, F.col("id") == F.col("of"), "left").select(
+    # By id and digest: rows that share an id can have different payloads.
+    revisits = narrow.join(owners, "digest").filter("id <> owner").select(F.col("id").alias("of"), F.col("digest").alias("copy"), F.col("owner")).distinct()
+    digested = rows.withColumn("digest", F.sha1("payload"))
+    named = digested.join(revisits, (F.col("id") == F.col("of")) & (F.col("digest") == F.col("copy")), "left").select(
         url_key(F.col("url")).alias("key"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("capture"), "url", "payload",
-        F.sha1("payload").alias("digest"), F.col("owner").cast("string").alias("refers_to"),
+        "digest", F.col("owner").cast("string").alias("refers_to"),
     )
     root = scratch_path(spark, "warc")
     captures = materialise(write_records(named, root, date), "warc-captures")

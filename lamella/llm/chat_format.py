@@ -78,31 +78,43 @@ def format_preferences(
     whole = conversations_of(turns, conv_col, turn_col, role_col, text_col)
     asked = pairs.select(F.col(chosen_col).alias("c"), F.col(rejected_col).alias("r"))
     both = asked.join(whole.select(F.col("conv").alias("c"), F.col("turns").alias("ct")), "c").join(whole.select(F.col("conv").alias("r"), F.col("turns").alias("rt")), "r")
+    return format_turns(both).withColumnsRenamed({"c": chosen_col, "r": rejected_col})
+
+
+def format_turns(both: DataFrame) -> DataFrame:
+    """The rows of ``format_preferences`` for pairs of arrays of turns: c, r (ids), ct, rt (arrays of role and text, without nulls)."""
     cut = both.withColumn("n", common_prefix(F.col("ct"), F.col("rt")))
     parts = cut.select(
         "c", "r", "n", F.slice("ct", F.lit(1), F.col("n")).alias("shared"), *(F.slice(t, F.col("n") + 1, F.size(t)).alias(t) for t in ("ct", "rt"))
     )
     return parts.select(
-        F.col("c").alias(chosen_col), F.col("r").alias(rejected_col), F.col("n").alias("n_prompt_turns"), rendered(F.col("shared")).alias("prompt"),
+        "c", "r", F.col("n").alias("n_prompt_turns"), rendered(F.col("shared")).alias("prompt"),
         rendered(F.col("ct")).alias("chosen"), rendered(F.col("rt")).alias("rejected"),
         learned_spans(F.col("ct")).alias("chosen_mask"), learned_spans(F.col("rt")).alias("rejected_mask"),
     )
 
 
-def neighbour_pairs(turns: DataFrame) -> DataFrame:
-    """(chosen_id, rejected_id) of conversations 2k and 2k + 1; of the two, the one with more assistant text is chosen."""
-    learned = F.sum(F.when(F.col("role").isin(*LEARNED), F.length("text")).otherwise(0)).alias("n")
-    sizes = turns.filter("conv_id is not null").groupBy("conv_id").agg(learned)
-    halves = sizes.groupBy(F.floor(F.col("conv_id") / 2).alias("k")).agg(
-        F.max_by("conv_id", F.struct("n", -F.col("conv_id"))).alias("chosen_id"), F.min_by("conv_id", F.struct("n", -F.col("conv_id"))).alias("rejected_id")
-    )
-    return halves.filter("chosen_id <> rejected_id").select("chosen_id", "rejected_id")
+def with_other_answers(whole: DataFrame) -> DataFrame:
+    """Pairs of each conversation (chosen) and itself with its last learned turn's text taken from another one (rejected).
+
+    ``whole`` has conv and turns. Conversation c takes the last learned text of
+    c xor 1, its neighbour, or an empty one where that isn't there or learns
+    nothing; ``r`` is the neighbour's id, null where it isn't there. A
+    conversation without a learned turn is its own rejected one.
+    """
+    back = F.array_position(F.transform(F.reverse("turns"), lambda t: t["role"].isin(*LEARNED)), True)
+    last = F.when(back > 0, F.size("turns") - back + 1).otherwise(0).cast("int")
+    found = whole.select("conv", "turns", last.alias("last"))
+    others = found.select(F.col("conv").bitwiseXOR(F.lit(1)).alias("of"), F.col("conv").alias("r"), F.when(F.col("last") > 0, F.get("turns", F.col("last") - 1)["text"]).alias("answer"))
+    joined = found.join(others, F.col("conv") == F.col("of"), "left")
+    changed = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), F.when(i + 1 == F.col("last"), F.coalesce("answer", F.lit(""))).otherwise(t["text"]).alias("text")))
+    return joined.select(F.col("conv").alias("c"), "r", F.col("turns").alias("ct"), changed.alias("rt"))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, paired with their neighbours; masks as text, start:length parted by commas."""
+    """Every conversation, against itself with its neighbour's last answer; masks as text, start:length parted by commas."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    out = format_preferences(turns, neighbour_pairs(turns))
+    out = format_turns(with_other_answers(conversations_of(turns, "conv_id", "turn", "role", "text"))).withColumnsRenamed({"c": "chosen_id", "r": "rejected_id"})
     masks = {c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["length"].cast("string"))), ",") for c in ("chosen_mask", "rejected_mask")}
     return out.withColumns(masks)
 
@@ -113,34 +125,33 @@ WITH t AS (
          row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS p
   FROM conversations WHERE conv_id IS NOT NULL
 ), sizes AS (
-  SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS n, count(*) AS turns FROM t GROUP BY conv_id
+  SELECT conv_id, count(*) AS turns, max(p) FILTER (WHERE role = 'assistant') AS lp FROM t GROUP BY conv_id
+), answers AS (
+  SELECT t.conv_id, t.text AS answer FROM t JOIN sizes s ON s.conv_id = t.conv_id AND s.lp = t.p
 ), pairs AS (
-  SELECT CASE WHEN b.n > a.n THEN b.conv_id ELSE a.conv_id END AS chosen_id, CASE WHEN b.n > a.n THEN a.conv_id ELSE b.conv_id END AS rejected_id
-  FROM sizes a JOIN sizes b ON a.conv_id % 2 = 0 AND b.conv_id = a.conv_id + 1
-), unlike AS (
-  SELECT chosen_id, rejected_id, min(p) AS p
-  FROM (
-    SELECT q.chosen_id, q.rejected_id, c.p FROM pairs q JOIN t c ON c.conv_id = q.chosen_id
-    LEFT JOIN t r ON r.conv_id = q.rejected_id AND r.p = c.p AND r.role = c.role AND r.text = c.text WHERE r.p IS NULL
-  ) GROUP BY ALL
+  SELECT s.conv_id, n.conv_id AS rejected_id, s.turns, s.lp, coalesce(a.answer, '') AS answer
+  FROM sizes s LEFT JOIN sizes n ON n.conv_id = xor(s.conv_id, 1) LEFT JOIN answers a ON a.conv_id = n.conv_id
 ), cut AS (
-  SELECT q.*, coalesce(u.p - 1, s.turns) AS n FROM pairs q JOIN sizes s ON s.conv_id = q.chosen_id LEFT JOIN unlike u USING (chosen_id, rejected_id)
+  SELECT q.conv_id, rejected_id, CASE WHEN t.text IS NULL OR t.text = answer THEN turns ELSE lp - 1 END AS n
+  FROM pairs q LEFT JOIN t ON t.conv_id = q.conv_id AND t.p = q.lp
 ), sides AS (
-  SELECT chosen_id, rejected_id, n, 'c' AS side, t.* FROM cut JOIN t ON conv_id = chosen_id
-  UNION ALL SELECT chosen_id, rejected_id, n, 'r', t.* FROM cut JOIN t ON conv_id = rejected_id
+  SELECT conv_id, n, 'c' AS side, p, role, text FROM cut JOIN t USING (conv_id)
+  UNION ALL
+  SELECT conv_id, n, 'r', p, role, CASE WHEN p = lp THEN answer ELSE text END FROM cut JOIN t USING (conv_id) JOIN pairs USING (conv_id)
 ), drawn AS (
   SELECT *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS s FROM sides
 ), placed AS (
-  SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY chosen_id, rejected_id, side ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY conv_id, side ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM drawn WHERE p > n
 ), texts AS (
-  SELECT chosen_id, rejected_id, side, string_agg(s, '' ORDER BY p) AS s,
+  SELECT conv_id, side, string_agg(s, '' ORDER BY p) AS s,
          string_agg((start + length(role) + 5) || ':' || (length(text) + 8), ',' ORDER BY p) FILTER (WHERE role = 'assistant') AS m
   FROM placed GROUP BY ALL
+), prompts AS (
+  SELECT conv_id, string_agg(s, '' ORDER BY p) AS s FROM drawn WHERE side = 'c' AND p <= n GROUP BY conv_id
 )
-SELECT cut.chosen_id, cut.rejected_id, n::INT AS n_prompt_turns,
-       coalesce((SELECT string_agg(s, '' ORDER BY p) FROM drawn d WHERE d.chosen_id = cut.chosen_id AND d.rejected_id = cut.rejected_id AND side = 'c' AND p <= d.n), '') AS prompt,
+SELECT cut.conv_id AS chosen_id, cut.rejected_id, n::INT AS n_prompt_turns, coalesce(q.s, '') AS prompt,
        coalesce(c.s, '') AS chosen, coalesce(r.s, '') AS rejected, coalesce(c.m, '') AS chosen_mask, coalesce(r.m, '') AS rejected_mask
-FROM cut LEFT JOIN texts c ON c.side = 'c' AND c.chosen_id = cut.chosen_id AND c.rejected_id = cut.rejected_id
-LEFT JOIN texts r ON r.side = 'r' AND r.chosen_id = cut.chosen_id AND r.rejected_id = cut.rejected_id
+FROM cut LEFT JOIN prompts q USING (conv_id)
+LEFT JOIN texts c ON c.side = 'c' AND c.conv_id = cut.conv_id LEFT JOIN texts r ON r.side = 'r' AND r.conv_id = cut.conv_id
 """

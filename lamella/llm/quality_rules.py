@@ -142,6 +142,12 @@ def binomial_cdf(x: int, n: int, p: float) -> float:
     return min(1.0, total)
 
 
+def _trials(found: DataFrame, labels: DataFrame, rules: Sequence[CutoffRule]) -> DataFrame:
+    """The good labelled documents, each once in a stratum: rows that share an id are one trial, rejected if any row is."""
+    good = labels.filter("good").select(F.col("id").alias("label_id")).distinct()
+    return found.join(good, F.col("id") == F.col("label_id")).groupBy("stratum", "label_id").agg(*(F.max(m).alias(m) for m in dict.fromkeys(r.measure for r in rules)))
+
+
 def certified_cutoffs(found: DataFrame, labels: DataFrame, rules: Sequence[CutoffRule], risk: float, delta: float) -> DataFrame:
     """For each stratum and rule with a certified cutoff: stratum, rule, cutoff, n_good, n_rejected, p_value.
 
@@ -151,7 +157,7 @@ def certified_cutoffs(found: DataFrame, labels: DataFrame, rules: Sequence[Cutof
     is at most risk / rules.
     """
     tests = [(k, j, c) for k, r in enumerate(rules) for j, c in enumerate(r.cutoffs)]
-    held = found.join(labels.filter("good").select(F.col("id").alias("label_id")).distinct(), F.col("id") == F.col("label_id"))
+    held = _trials(found, labels, rules)
     counts = held.groupBy("stratum").agg(
         F.count("*").alias("n"), *(F.sum((F.col(rules[k].measure) > c).cast("long")).alias(f"x{i}") for i, (k, _, c) in enumerate(tests))
     )
@@ -189,7 +195,7 @@ def certified_jointly(found: DataFrame, labels: DataFrame, rules: Sequence[Cutof
     ``n_rejected`` and ``p_value`` are those of the last step.
     """
     steps = joint_sequence(rules)
-    held = found.join(labels.filter("good").select(F.col("id").alias("label_id")).distinct(), F.col("id") == F.col("label_id"))
+    held = _trials(found, labels, rules)
     first = F.least(F.lit(len(steps)), *(F.when(F.col(rules[k].measure) > rules[k].cutoffs[j], t) for t, (k, j) in enumerate(steps)))
     counts = held.withColumn("first", first).groupBy("stratum").agg(F.count("*").alias("n"), *(F.sum((F.col("first") <= t).cast("long")).alias(f"x{t}") for t in range(len(steps))))
     counts = materialise(counts, "quality-counts")
@@ -233,8 +239,9 @@ def judge(
     its own (the empty name). Labels are only counted, never fitted to; a
     stratum without enough labels to certify a cutoff has no rule but the
     base. With ``joint`` the rules of a stratum are certified together, for
-    which 86 good labels in each of four strata can do. Repeated rows are judged alike, one by one; a document labelled
-    twice counts once, and as good if any label says so.
+    which 86 good labels in each of four strata can do. Repeated rows are judged alike, one by one; a document that
+    occurs or is labelled several times counts once, as good if any label says
+    so and as rejected if any row is.
     """
     found = materialise(measured(docs, id_col, text_col, stratum_col), "quality")
     marks = labels.select(F.col(label_id_col).alias("id"), F.expr(good).alias("good"))
@@ -304,7 +311,7 @@ WITH split AS (
 ), grid(rule, j, cutoff) AS (VALUES {grid}),
 valued AS (SELECT m.*, rule, j, cutoff, CASE rule {by_rule} END AS v FROM m, grid),
 counted AS (
-  SELECT stratum, rule, j, cutoff, count(*) AS n, count(*) FILTER (WHERE v > cutoff) AS x
+  SELECT stratum, rule, j, cutoff, count(DISTINCT doc_id) AS n, count(DISTINCT doc_id) FILTER (WHERE v > cutoff) AS x
   FROM valued WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL
 ), tested AS (
   SELECT *, list_sum(list_transform(range(0, x + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05 / 5) + (n - i) * ln(1 - 0.05 / 5))))

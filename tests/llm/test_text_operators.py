@@ -153,6 +153,18 @@ def test_few_labels_certify_rules_jointly(spark):
         assert {r.doc_id for r in kept} == {r.doc_id for r in found if r.kept}
 
 
+def test_a_document_that_repeats_is_one_trial(spark):
+    rows = [(i, "word " * 25, "en") for i in range(100)] + [(0, "word !! " * 25, "en")] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"id": F.lit(1), "stratum": F.lit("s"), "n": F.lit(2), "kept": F.lit(False), "label_id": F.lit(7)})
+    labels = spark.createDataFrame([(i, 1) for i in range(100)] * 2, "doc_id long, quality int")
+    found = quality_rules.measured(df, "doc_id", "text", "lang")
+    good = labels.selectExpr("doc_id as id", "quality = 1 as good")
+    for certify in (quality_rules.certified_cutoffs, quality_rules.certified_jointly):
+        got = certify(found, good, quality_rules.RULES, 0.4, 0.05).collect()
+        assert got and all(r.n_good == 100 and r.n_rejected <= 1 for r in got)
+    assert quality_rules.judge(df, labels).count() == len(rows)
+
+
 def test_quality_of_nothing(docs, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality_rules.judge(docs.limit(0), labels).count() == 0
@@ -164,7 +176,8 @@ def test_token_counts_equal_the_library(docs, spark):
     from tokenizers import Tokenizer
 
     strange = ["a<|endoftext|>B'S I'll <|startoftext|><|endoftext|> ΣΑΣ", "日本語 ① ½ ẞ İst", "don't 12345 !!!??\r\n_a", "<|ENDOFTEXT|> <|endoftext", "e\u0301 \u212b x\x1cz\x85q \ud7ff", "x" * 5000]
-    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(3000 + i, t) for i, t in enumerate(strange)], "doc_id long, text string"))
+    clash = {"id": F.lit("clash"), "n": F.lit(1), "n_tokens": F.lit(2), "piece": F.lit(3), "n_bytes": F.lit(4)}
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(3000 + i, t) for i, t in enumerate(strange)], "doc_id long, text string")).withColumns(clash)
     path = P.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     want = Counter((r.doc_id, len((r.text or "").encode()), len(library.encode(r.text or "", add_special_tokens=False).ids)) for r in df.collect())

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.llm.bloom import bloom_filter, probe
-from lamella.llm.common import prepare
+from lamella.llm.common import materialise, prepare
 
 
 class Rule(NamedTuple):
@@ -82,13 +82,14 @@ def judge(
     """
     spark = pages.sparkSession
     prepare(spark)
-    keys = listed.select(canonical(F.col(listed_col)).alias("key")).filter("key <> ''").distinct()
+    keys = materialise(listed.select(canonical(F.col(listed_col)).alias("key")).filter("key <> ''").distinct(), "url-list")
     table = bloom_filter(keys, "key", keys.count(), bits_per_key, most_bytes)
     url = F.col(url_col)
     parted = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("key"))
     ruled = parted.withColumn("found", _longest_rule(F.col("host"), F.col("path"), rules)).select("id", "host", "path", "key", "found.rule", "found.verdict")
     probed = probe(ruled, "key", table).withColumn("probe", F.when(F.col("maybe") & F.col("rule").isNull(), F.col("key")))
-    marked = keys.select(F.col("key").alias("hit"))
+    # A hash join at any size: its table is the distinct keys of one partition, which hashing makes even.
+    marked = keys.select(F.col("key").alias("hit")).hint("shuffle_hash")
     # Rows that need no look-up join nothing and keep their place: they go round the join.
     near = probed.filter("probe is not null").join(marked, F.col("probe") == F.col("hit"), "left")
     far = probed.filter("probe is null").withColumn("hit", F.lit(None).cast("string"))
@@ -107,20 +108,22 @@ RULES = (
     Rule("block", "net", "/es/"),
     Rule("block", "net", "/fr/"),
 )
-#: Words in host names whose pages make up the query's list.
-LISTED_HOSTS = "casino|poker|pills|adult"
+#: First characters of the MD5 of the URLs that make up the query's list.
+LISTED = ("0", "1", "2")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages, by the five rules and the list of pages on hosts with a listed word."""
+    """All pages, by the five rules and a list of three sixteenths of their URLs, written otherwise, and of as many URLs of no page as there are pages."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    listed = pages.select("url").filter(host_of(F.col("url")).rlike(LISTED_HOSTS))
-    return judge(pages, listed, RULES).drop("maybe")
+    url = F.col("url")
+    known = pages.filter(F.substring(F.md5(url), 1, 1).isin(*LISTED)).select(F.concat(url, F.lit("#listed")).alias("url"))
+    others = pages.select(F.concat(F.lit("http://www."), host_of(url), F.lit("/absent/"), F.md5(url)).alias("url"))
+    return judge(pages, known.unionByName(others), RULES).drop("maybe")
 
 
 ORACLE_SQL = r"""
 WITH parted AS (
-  SELECT page_id,
+  SELECT page_id, url,
          coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages
@@ -133,7 +136,7 @@ WITH parted AS (
          WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/'
     END AS rule
   FROM parted
-), listed AS (SELECT DISTINCT key FROM keyed WHERE regexp_matches(host, 'casino|poker|pills|adult') AND key <> '')
+), listed AS (SELECT DISTINCT key FROM keyed WHERE md5(url)[1:1] IN ('0', '1', '2') AND key <> '')
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
             WHEN key IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END AS verdict,

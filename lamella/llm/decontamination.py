@@ -15,11 +15,13 @@ the whole item to the best passage of the text around it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +30,12 @@ from lamella.llm.ngram_jaccard import WordHashes
 
 #: ASCII letters in lower case, digits, and all bytes of other characters; everything else parts words.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Independent walks; tables of each as (steps, positions sampled); words from one start in a text to the next.
-WALKS, TABLES, STRIDE = 2, ((14, 4), (18, 5), (24, 6)), 2
+#: Most independent walks; tables of each as (steps, positions sampled); words from one start in a text to the next.
+MOST_WALKS, TABLES, STRIDE = 8, ((14, 4), (18, 5), (24, 6)), 2
 STEPS = max(s for s, _ in TABLES)
-_SEEDS = mix64(np.arange(701, 701 + WALKS, dtype=np.uint64))
+#: Share of planted items that the tables of one walk find at least (15 words with 3 edits, where it is least).
+ONE_WALK = 0.7
+_SEEDS = mix64(np.arange(701, 701 + MOST_WALKS, dtype=np.uint64))
 _ODD = mix64(np.arange(801, 833, dtype=np.uint64)) | np.uint64(1)
 _FILTER_BITS = 20
 #: Items of fewer words are searched by pieces, which finds all of them, and not by walks.
@@ -49,12 +53,17 @@ def sampled_steps() -> list[list[tuple[int, ...]]]:
     second step and neighbouring positions often hold the same word.
     """
     rng = np.random.default_rng(20240229)
-    return [[tuple(int(steps * (i + 0.2 + 0.6 * rng.random()) / k) for i in range(k)) for steps, k in TABLES] for _ in range(WALKS)]
+    return [[tuple(int(steps * (i + 0.2 + 0.6 * rng.random()) / k) for i in range(k)) for steps, k in TABLES] for _ in range(MOST_WALKS)]
 
 
 SAMPLES = sampled_steps()
 
 
+def walks_for(recall: float) -> int:
+    """Independent walks after which an item has been missed by all with a chance of 1 - ``recall`` at most."""
+    return max(1, min(MOST_WALKS, math.ceil(math.log(max(1 - recall, 1e-9)) / math.log(1 - ONE_WALK) - 1e-9)))
+
+
 def walk_keys(symbols: np.ndarray, starts: np.ndarray, walk: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Per table, the key of every start and the last place that it read.
 
@@ -102,7 +111,8 @@ def best_passage(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 class ItemIndex:
     """Keys of all walk starts of a bounded set of items, and of the pieces of the short ones."""
 
-    def __init__(self, ids: Sequence, words: Sequence[np.ndarray], percent: int = 80, least_words: int = 6) -> None:
+    def __init__(self, ids: Sequence, words: Sequence[np.ndarray], percent: int = 80, least_words: int = 6, recall: float = 0.9) -> None:
+        self.walks = walks_for(recall)
         self.ids, self.words = list(ids), list(words)
         #: Most edits of each item; none where it has fewer than ``least_words`` words.
         self.slack = np.array([len(w) * (100 - percent) // 100 if len(w) >= least_words else 0 for w in words], np.int64)
@@ -117,7 +127,7 @@ class ItemIndex:
         item, offset = item[walks], offset[walks]
         starts = begin[item] + offset
         self.tables = []
-        for walk in range(WALKS):
+        for walk in range(self.walks):
             keys, last = walk_keys(symbols, starts, walk)
             for k, end in zip(keys, last, strict=True):
                 inside = end < (begin + sizes)[item]
@@ -148,7 +158,7 @@ class ItemIndex:
     def candidates(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Rows (item, place of its first word in ``symbols``) that some walk's table agrees on."""
         found = [np.empty((0, 2), np.int64)]
-        for walk in range(WALKS):
+        for walk in range(self.walks):
             keys, _ = walk_keys(symbols, starts, walk)
             found += [_agreeing(self.tables[walk * len(TABLES) + t], k, starts) for t, k in enumerate(keys)]
         return np.concatenate(found)
@@ -211,6 +221,18 @@ def scan(texts: Sequence[str | None], index: ItemIndex, hashes: WordHashes) -> I
         yield d, i, first, end, distance
 
 
+def _indexes(wanted: DataFrame, percent: int, least_words: int, most_words: int, recall: float) -> Iterator[tuple[Broadcast, pa.DataType]]:
+    """Broadcast indexes of about ``most_words`` words each, and the items' Arrow type."""
+    size = wanted.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    passes = max(1, -(-size // (5 * most_words)))
+    for k in range(passes):
+        part = wanted.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).toArrow()
+        hashes = WordHashes()
+        pairs = [(i, np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))) for i, t in zip(part.column("item").to_pylist(), part.column("text").to_pylist(), strict=True) if (w := words_for_edit(t))]
+        index = ItemIndex([i for i, _ in pairs], [w for _, w in pairs], percent, least_words, recall)
+        yield wanted.sparkSession.sparkContext.broadcast(index), part.column("item").type
+
+
 def contaminated(
     docs: DataFrame,
     items: DataFrame,
@@ -220,7 +242,8 @@ def contaminated(
     item_text_col: str = "text",
     percent: int = 80,
     least_words: int = 6,
-    most_words: int = 4_000_000,
+    most_words: int = 1_000_000,
+    recall: float = 0.9,
 ) -> DataFrame:
     """(id, item, first_word, end_word, distance, item_words) of each document and benchmark item that it holds.
 
@@ -231,8 +254,9 @@ def contaminated(
     with an exact copy only, so an item of one word by all that have the word;
     null and empty texts hold nothing and items without words aren't searched. The items
     are searched in as many passes over the documents as keep each pass's
-    index to about ``most_words`` words, so what is broadcast doesn't grow
-    with the benchmark. Repeated rows give repeated results; items with equal
+    index to about ``most_words`` words, of 150 bytes each, so what is broadcast
+    doesn't grow with the benchmark. ``recall`` is the share of held items to
+    be found (see ``walks_for``); short items are all found. Repeated rows give repeated results; items with equal
     texts are each named.
     """
     spark: SparkSession = docs.sparkSession
@@ -240,15 +264,8 @@ def contaminated(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     wanted = items.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null")
     id_type, item_type = rows.schema["id"].dataType.simpleString(), wanted.schema["item"].dataType.simpleString()
-    size = wanted.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    passes = max(1, -(-size // (5 * most_words)))
     found = None
-    for k in range(passes):
-        part = wanted.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).toArrow()
-        hashes = WordHashes()
-        pairs = [(i, np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))) for i, t in zip(part.column("item").to_pylist(), part.column("text").to_pylist(), strict=True) if (w := words_for_edit(t))]
-        index = spark.sparkContext.broadcast(ItemIndex([i for i, _ in pairs], [w for _, w in pairs], percent, least_words))
-        arrow = part.column("item").type
+    for index, arrow in _indexes(wanted, percent, least_words, most_words, recall):
 
         def run(batches: Iterable[pa.RecordBatch], index=index, arrow=arrow) -> Iterator[pa.RecordBatch]:
             known, names = WordHashes(), ["id", "item", "first_word", "end_word", "distance", "item_words"]
@@ -265,10 +282,35 @@ def contaminated(
     return found.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without those that hold a benchmark item; rows with a null id are judged with all others that have none."""
-    held = contaminated(docs, items, id_col=id_col, **options).select(F.col(id_col).alias("_held")).distinct()
-    return docs.join(held, docs[id_col].eqNullSafe(F.col("_held")), "left_anti")
+def decontaminate(
+    docs: DataFrame,
+    items: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    percent: int = 80,
+    least_words: int = 6,
+    most_words: int = 1_000_000,
+    recall: float = 0.9,
+) -> DataFrame:
+    """The rows of ``docs`` whose texts hold no benchmark item (see ``contaminated``), with all columns.
+
+    Each row is judged by its own text, in the task that reads it: nothing is shuffled.
+    """
+    prepare(docs.sparkSession)
+    wanted = items.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null")
+    kept = docs
+    for index, _ in _indexes(wanted, percent, least_words, most_words, recall):
+
+        def clean(batches: Iterable[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            known = WordHashes()
+            for batch in batches:
+                mask = np.ones(batch.num_rows, bool)
+                mask[[h[0] for h in scan(batch.column(text_col).to_pylist(), index.value, known)]] = False
+                yield batch.filter(pa.array(mask))
+
+        kept = kept.mapInArrow(clean, docs.schema)
+    return kept
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

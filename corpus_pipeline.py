@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.llm import decontamination, line_dedup, mixing, ngram_jaccard, quality_rules
-from lamella.llm.common import scratch_path
+from lamella.llm.common import drop_scratch, scratch_made, scratch_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,15 +48,18 @@ STAGES = [
     ("mixing", mixture),
 ]
 
-#: SimHash candidates and the edit-distance search have no SQL form.
+#: The candidates of line dedup and the edit-distance search have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        made = scratch_made()
         out = stage(spark, docs, sf_dir)
         path = scratch_path(spark, name)
         out.write.parquet(path)
+        # The stage's own tables aren't needed any more.
+        drop_scratch(spark, since=made, keep=path)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs

@@ -35,14 +35,17 @@ def filter_scans(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a new local one only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, one in the warehouse, or a temporary one if Spark runs on this machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = got.get() if got.isDefined() else None
     if not named:
-        named = tempfile.mkdtemp(prefix="lamella-")
-        atexit.register(shutil.rmtree, named, True)
+        if spark.sparkContext.master.startswith("local"):
+            named = tempfile.mkdtemp(prefix="lamella-")
+            atexit.register(shutil.rmtree, named, True)
+        else:
+            named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lamella-scratch-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
@@ -56,9 +59,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return _MADE[-1]
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete this process's scratch tables and archives, once no result that reads them is needed any more."""
-    made, _MADE[:] = list(_MADE), []
+def scratch_made() -> int:
+    """How many scratch folders this process has named; to be given to ``drop_scratch`` later."""
+    return len(_MADE)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, keep: str | None = None) -> int:
+    """Delete this process's scratch tables and archives named after the first ``since``, but for ``keep``, once no result that reads them is needed any more."""
+    made = [path for path in _MADE[since:] if path != keep]
+    _MADE[since:] = [path for path in _MADE[since:] if path == keep]
     gone = 0
     for path in made:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -86,6 +86,16 @@ def test_archive_round_trip(spark):
     assert warc.read_captures(missing, parts, root, 2).count() == 0
 
 
+def test_rows_that_share_an_id_are_records_of_their_own(spark):
+    a, b = "a" * 1200, "b" * 1500
+    rows = [(5, "http://x/1", a), (9, "http://x/2", a), (5, "http://x/3", b), (12, "http://x/4", b), (7, "http://x/5", "short")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"id": F.lit(0), "digest": F.lit("d"), "owner": F.lit(1), "key": F.lit("k")})
+    captures, parts, root = warc.archive(df)
+    asked = captures.select("key", "capture").distinct()
+    got = sorted((r.capture, r.kind, r.refers_to, r.length) for r in warc.read_captures(asked, parts, root, 3).collect())
+    assert got == [("12", "response", None, 1500), ("5", "revisit", "12", 1500), ("5", "revisit", "9", 1200), ("7", "response", None, 5), ("9", "response", None, 1200)]
+
+
 def test_index_search_crosses_blocks(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 3)
     rows = [("k%03d" % (i // 7), str(i // 7), f"f{i}", i, 1) for i in range(100)]
@@ -135,6 +145,15 @@ def test_preference_formatting(spark):
     assert chat_format.format_preferences(turns.limit(0), pairs).count() == 0 and chat_format.format_preferences(turns, pairs.limit(0)).count() == 0
 
 
+def test_each_conversation_is_paired_with_another_answer(spark):
+    turns = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").withColumns({"conv": F.lit(1), "last": F.lit(2), "r": F.lit(3), "answer": F.lit("x")})
+    whole = chat_format.conversations_of(turns, "conv_id", "turn", "role", "text")
+    got = {r.c: r for r in chat_format.format_turns(chat_format.with_other_answers(whole)).collect()}
+    assert {c: (r.r, r.n_prompt_turns) for c, r in got.items()} == {1: (None, 3), 2: (3, 3), 3: (2, 1), 4: (5, 2), 5: (4, 2)}
+    assert got[2].chosen == "<|assistant|>\nno<|end|>\n" and got[2].rejected == "<|assistant|>\none<|end|>\n" and got[1].rejected == "<|assistant|>\n<|end|>\n"
+    assert got[3].rejected_mask[0].length == len("no<|end|>\n") and got[5].chosen == got[5].rejected == ""
+
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -154,6 +173,13 @@ def test_pipeline_stages_work_on_what_is_left(spark):
         assert set(after) <= before and len(after) == len(set(after))
         before = set(after)
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    # Nulls, empty and repeated rows, and columns with the operators' own names.
+    odd = spark.createDataFrame([(1, None, None, None, None), (None, "w " * 50, "en", "s", 5), (2, "", "en", "s", 0), (3, "same words here " * 20, "en", "s", 1), (3, "same words here " * 20, "en", "s", 1)], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        odd = odd.unionByName(docs.limit(30).select(*docs.columns)) if _ == "quality_rules" else odd
+        if _ != "mixing":
+            odd = spark.createDataFrame(stage(spark, odd.withColumns({"id": F.lit(0), "key": F.lit(1), "norm": F.lit("x"), "stratum": F.lit("y"), "label": F.lit(2)}), SF).select(*docs.columns).collect(), docs.schema)
     assert {r.doc_id for r in mixed.collect()} <= before
     assert corpus_pipeline.run(spark, SF).count() == mixed.count() > 0
 

@@ -1,17 +1,22 @@
 """Fuzzy line deduplication with SQL expressions only.
 
-Lines are normalised and made distinct. A distinct line gets a 63-bit SimHash
-of its words. SimHashes within ``DISTANCE`` bits agree on all but three of
-their blocks, so distinct SimHashes are joined on every choice of the others;
-lines of joined SimHashes are compared by edit distance, and of each connected
-group of lines the first occurrence stays.
+Lines are normalised and made distinct. A line's features are its longer
+words. They vote on its SimHash, and each belongs by its hash to one of
+``BLOCKS`` blocks, which are compared as a whole: an edited word changes one
+block, and no more than one for the word in its place, so by the pigeonhole
+principle lines with few edits agree on the others. (Blocks of the SimHash's
+own bits would not do: one word in ten replaced turns six of 60 bits on
+average, all over the blocks.) Lines of few words are joined on each two
+blocks, longer ones on single blocks; pairs whose SimHashes are near are
+compared by edit distance, and of each connected group of lines the first
+occurrence stays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
-from math import comb
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,15 +24,24 @@ from pyspark.sql import functions as F
 from lamella.llm.common import filter_scans, materialise
 from lamella.llm.components import connected_components
 
-#: Most differing bits of linked SimHashes.
-DISTANCE = 3
-#: A SimHash has 63 bits: bits j, j + 21 and j + 42 of a word's hash are summed in three parts of one long.
-LANES, LANE = 3, 21
-_ONES = sum(1 << LANE * i for i in range(LANES))
 #: Words of at least so many characters are a line's features; all words, where it has none.
-FEATURE = 6
+FEATURE = 4
+#: Blocks of a line; block i and block i + COARSE together are one of its coarse blocks.
+BLOCKS, COARSE = 16, 8
+#: Lines of fewer features than the first are joined on pairs of coarse blocks, from the second to the third on coarse
+#: ones, from the last on blocks. As the ranges overlap, lines of somewhat different length are in one of them together.
+PAIRS_BELOW, COARSE_FROM, COARSE_BELOW, BLOCKS_FROM = 20, 16, 96, 72
+#: A SimHash has 60 bits: bits j, j + 12, ... of a word's hash are summed in five parts of one long.
+LANES, LANE = 5, 12
+_ONES = sum(1 << LANE * i for i in range(LANES))
+#: Most differing bits of SimHashes whose lines are compared; most features that a part of a long can count, and a length
+#: that has no more, as two words have a space between them. Longer lines are compared whatever their SimHashes.
+REACH, MOST_VOTES = 15, (1 << (LANE - 1)) - 1
+MOST_SIZE = 2 * MOST_VOTES
 #: Half widths of the bands in which the edit distance is tried before the whole allowance.
 BANDS = (24, 80)
+#: Words that an alignment of words looks ahead.
+AHEAD = 8
 
 
 def normal_lines(text: Column) -> Column:
@@ -37,149 +51,147 @@ def normal_lines(text: Column) -> Column:
 
 
 def _occurrences(docs: DataFrame, least_words: int) -> DataFrame:
-    """(id, pos, norm) of the lines that take part."""
+    """(id, pos, key, norm) of the lines that take part."""
     lines = docs.filter("id is not null").select("id", F.posexplode(normal_lines(F.col("text"))).alias("pos", "raw"))
     norm = lines.select("id", "pos", F.trim("raw").alias("norm"))
     # A normal line of n words has n - 1 spaces.
-    return norm.filter(F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) >= least_words - 1)
+    taken = norm.filter(F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) >= least_words - 1)
+    return taken.select("id", "pos", F.xxhash64("norm").alias("key"), "norm")
+
+
+def _block_keys(n: Column, blocks: list[Column]) -> Column:
+    """The keys on which a line of ``n`` features is joined; an empty block is 0 and in no key but a short line's of all blocks."""
+    coarse = [blocks[i].bitwiseXOR(blocks[i + COARSE]) for i in range(COARSE)]
+    whole = F.array(F.xxhash64(F.lit(0), *blocks))
+    pairs = F.array(*(F.when((coarse[i] != 0) & (coarse[j] != 0), F.xxhash64(F.lit(1), F.lit(i), F.lit(j), coarse[i], coarse[j])) for i, j in combinations(range(COARSE), 2)))
+    single = F.array(*(F.when(b != 0, F.xxhash64(F.lit(2), F.lit(i), b)) for i, b in enumerate(coarse)))
+    fine = F.array(*(F.when(b != 0, F.xxhash64(F.lit(3), F.lit(i), b)) for i, b in enumerate(blocks)))
+    keys = (
+        F.when(n < COARSE_FROM, F.concat(whole, pairs))
+        .when(n < PAIRS_BELOW, F.concat(whole, pairs, single))
+        .when(n < BLOCKS_FROM, single)
+        .when(n < COARSE_BELOW, F.concat(single, fine))
+        .otherwise(fine)
+    )
+    return F.array_compact(keys)
 
 
-def _simhashes(lines: DataFrame) -> DataFrame:
-    """(key, simhash) of distinct lines that are dealt out by ``key``; nothing is shuffled.
+def _signatures(lines: DataFrame) -> DataFrame:
+    """(key, size, simhash, keys) of distinct lines that are dealt out by ``key``; nothing is shuffled.
 
-    A feature weighs as many as it has characters and counts once, so that a
-    word repeated many times isn't all of a SimHash. The sums fit their parts of
-    a long for lines of up to a million characters; in longer ones weights are
-    halved as often as it takes.
+    ``size`` is a line's characters. A block is the exclusive or of its features' hashes, so a word that occurs twice is in
+    none.
     """
-    halvings = F.greatest(F.ceil(F.log2(F.length("norm") / F.lit(float(1 << (LANE - 1))))), F.lit(0)).cast("int")
-    long_words = F.regexp_extract_all("norm", F.lit(f"[^ ]{{{FEATURE},}}"), F.lit(0))
-    listed = lines.select("key", "norm", halvings.alias("halvings"), long_words.alias("words"))
-    words = F.when(F.size("words") > 0, F.col("words")).otherwise(F.split("norm", " "))
-    features = listed.select("key", "halvings", F.explode(F.array_distinct(words)).alias("w"))
-    weight = F.call_function("shiftright", F.length("w"), F.col("halvings")).cast("long")
-    hashed = features.select("key", F.xxhash64("w").alias("h"), weight.alias("weight"))
-    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(_ONES)) * F.col("weight")).alias(f"s{j}") for j in range(LANE)]
-    summed = hashed.groupBy("key").agg(F.sum("weight").alias("all"), *sums)
-    parts = []
-    for lane in range(LANES):
-        for j in range(LANE):
-            ones = F.shiftrightunsigned(f"s{j}", lane * LANE).bitwiseAND(F.lit((1 << LANE) - 1))
-            parts.append(F.when(ones * 2 > F.col("all"), F.lit(1 << (lane * LANE + j))).otherwise(F.lit(0)).cast("long"))
-    return summed.select("key", reduce(lambda a, b: a.bitwiseOR(b), parts).alias("simhash"))
-
-
-def block_widths(n: int) -> list[int]:
-    """Blocks of a SimHash: as few as leave each of ``n`` values a few chance partners.
-
-    Any number of blocks over DISTANCE finds the same pairs; more of them make
-    longer join keys and more rows.
+    # One use of each expression: the optimizer would work a shared one out again for every use.
+    words = F.when(F.col("norm").rlike(f"[^ ]{{{FEATURE}}}"), F.regexp_extract_all("norm", F.lit(f"[^ ]{{{FEATURE},}}"), F.lit(0))).otherwise(F.split("norm", " "))
+    hashed = lines.select("key", F.length("norm").alias("size"), F.explode(words).alias("w")).select("key", "size", F.xxhash64("w").alias("h"))
+    counted = hashed.withColumn("v", F.when(F.col("size") <= MOST_SIZE, F.shiftrightunsigned("h", 4)).otherwise(F.lit(0).cast("long")))
+    sums = [F.sum(F.shiftrightunsigned("v", j).bitwiseAND(F.lit(_ONES))).alias(f"s{j}") for j in range(LANE)]
+    blocks = [F.bit_xor(F.when(F.col("h").bitwiseAND(F.lit(BLOCKS - 1)) == i, F.col("h")).otherwise(F.lit(0).cast("long"))).alias(f"b{i}") for i in range(BLOCKS)]
+    summed = counted.groupBy("key").agg(F.max("size").alias("size"), F.count("*").alias("n"), *sums, *blocks)
+    # In each part of a long, the top bit of sum + (2047 - n div 2) says whether more than half of the features voted for it.
+    half = (F.lit(MOST_VOTES) - F.shiftright(F.least("n", F.lit(MOST_VOTES)), 1)) * F.lit(_ONES)
+    ones = [F.shiftleft(F.shiftrightunsigned(F.col(f"s{j}") + half, LANE - 1).bitwiseAND(F.lit(_ONES)), j) for j in range(LANE)]
+    simhash = reduce(lambda x, y: x.bitwiseOR(y), ones).alias("simhash")
+    return summed.select("key", "size", simhash, _block_keys(F.col("n"), [F.col(f"b{i}") for i in range(BLOCKS)]).alias("keys"))
+
+
+def near_enough(a: str, b: str, percent: int) -> str:
+    """Condition that lines of two signatures can be similar: by length, and by their SimHashes."""
+    lengths = f"least({a}.size, {b}.size) * 100 >= greatest({a}.size, {b}.size) * {percent}"
+    return f"{lengths} and (greatest({a}.size, {b}.size) > {MOST_SIZE} or bit_count({a}.simhash ^ {b}.simhash) <= {REACH})"
+
+
+def _given(fn: Callable[[Column], Column], **values: Column) -> Column:
+    """``fn`` of a struct of values that are worked out once, however often it uses them."""
+    return F.get(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), fn), F.lit(0))
+
+
+def _aligned_cost(a: Column, b: Column) -> Column:
+    """At least the edit distance of two arrays of words, joined by spaces.
+
+    Each word of ``a`` is matched with the next equal one of ``b``, up to
+    AHEAD words on; what is between two matches costs the longer one's length.
     """
-    for blocks in range(DISTANCE + 2, 12):
-        if n * comb(blocks, DISTANCE) >> 64 * (blocks - DISTANCE) // blocks <= 4:
-            break
-    return [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
-
-
-def close_simhashes(hashes: DataFrame, n: int) -> DataFrame:
-    """Pairs (x, y), x < y, of the ``n`` distinct SimHashes that differ in at most DISTANCE bits."""
-    widths = block_widths(n)
-    starts = [sum(widths[:i]) for i in range(len(widths))]
-    block = [F.shiftrightunsigned("simhash", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in zip(starts, widths, strict=True)]
-    keys = []
-    for number, chosen in enumerate(combinations(range(len(widths)), len(widths) - DISTANCE)):
-        key = F.lit(number).cast("long")
-        for i in chosen:
-            key = F.shiftleft(key, widths[i]).bitwiseOR(block[i])
-        keys.append(key)
-    keyed = hashes.select("simhash", F.explode(F.array(*keys)).alias("key"))
-    near = F.expr(f"l.key = r.key and l.simhash < r.simhash and bit_count(l.simhash ^ r.simhash) <= {DISTANCE}")
-    return keyed.alias("l").join(keyed.alias("r"), near).select(F.col("l.simhash").alias("x"), F.col("r.simhash").alias("y")).distinct()
+
+    def length_of(words: Column) -> Column:
+        return F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w) + 1)
+
+    def step(state: Column, word: Column) -> Column:
+        def matched(x: Column) -> Column:
+            skipped = length_of(F.slice(b, state["next"], F.greatest(x["at"] - 1, F.lit(0))))
+            hit = F.struct((state["next"] + x["at"]).alias("next"), F.lit(0).alias("gap"), (state["cost"] + F.greatest(state["gap"], skipped)).alias("cost"))
+            miss = F.struct(state["next"].alias("next"), (state["gap"] + F.length(word) + 1).alias("gap"), state["cost"].alias("cost"))
+            return F.when(x["at"] > 0, hit).otherwise(miss)
+
+        return _given(matched, at=F.array_position(F.slice(b, state["next"], F.lit(AHEAD)), word).cast("int"))
+
+    first = F.struct(F.lit(1).alias("next"), F.lit(0).alias("gap"), F.lit(0).alias("cost"))
+    return F.aggregate(a, first, step, lambda s: s["cost"] + F.greatest(s["gap"], length_of(F.slice(b, s["next"], F.size(b)))))
 
 
 def similar_lines(a: Column, b: Column, percent: int) -> Column:
-    """Edit distance at most (100 - percent) % of the longer line; tried in narrow bands first."""
+    """Edit distance at most (100 - percent) % of the longer line, for lines with words parted by single spaces.
+
+    An alignment of words bounds the distance and mostly settles it; else it is
+    worked out, in narrow bands first.
+    """
     most = F.floor(F.greatest(F.length(a), F.length(b)) * (100 - percent) / 100).cast("int")
-    out: Column | None = None
+    bound = _given(lambda s: _aligned_cost(s["a"], s["b"]), a=F.split(a, " "), b=F.split(b, " "))
+    out = F.when(bound <= most, True)
     for band in BANDS:
         near = F.call_function("levenshtein", a, b, F.least(most, F.lit(band))) >= 0
-        out = F.when(near, True) if out is None else out.when(near, True)
-        out = out.when(most <= band, False)
+        out = out.when(near, True).when(most <= band, False)
     return out.otherwise(F.call_function("levenshtein", a, b, most) >= 0)
 
 
-def _links(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of line keys that pass the edit check."""
-    # The comparison is always true; it lets the optimizer filter the lines' scan by the pairs' keys.
-    pairs = pairs.filter("a <> b")
-    joined = pairs.join(lines.select(F.col("key").alias("a"), F.col("norm").alias("na")), "a").join(lines.select(F.col("key").alias("b"), F.col("norm").alias("nb")), "b")
-    shorter, longer = F.least(F.length("na"), F.length("nb")), F.greatest(F.length("na"), F.length("nb"))
-    return joined.filter((shorter * 100 >= longer * percent) & similar_lines(F.col("na"), F.col("nb"), percent)).select("a", "b")
+def _links(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of line keys that pass the edit check; ``found`` has the lines' texts, several times if they repeat."""
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "line-wanted")
+    # The comparison is always true; it lets the optimizer filter the scan of the lines by the wanted keys.
+    texts = found.select("key", "norm").join(wanted.filter("key is not null"), "key", "left_semi").groupBy("key").agg(F.max("norm").alias("norm"))
+    texts = materialise(texts, "line-texts")
+    joined = pairs.join(texts.select(F.col("key").alias("a"), F.col("norm").alias("na")), "a").join(texts.select(F.col("key").alias("b"), F.col("norm").alias("nb")), "b")
+    return materialise(joined.filter(similar_lines(F.col("na"), F.col("nb"), percent)).select("a", "b"), "line-links")
 
 
-def line_groups(lines: DataFrame, percent: int) -> DataFrame:
+def line_groups(found: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """(node, root) for each distinct line that is linked and not its group's least key.
 
-    ``lines`` has key, norm and simhash. Lines of one SimHash are compared
-    with its least one, and of two close SimHashes the least ones with each
-    other. A pair counts only while its lines are in different groups, so a few
-    are tried first, one for each line and one for each two groups, and then
-    all that are left. Where the least lines of two SimHashes don't link, all of
-    their lines are compared. So no link is lost, and a family of variants
-    isn't listed pair by pair.
+    Lines that share a block key are a bucket. Each is compared with the
+    bucket's least line, its pivot, which makes no more pairs than keys however
+    large the bucket is. Where the links so found leave a bucket's other lines
+    in several groups, one line of each group is compared with one of each
+    other, and then lines of groups that are still apart with each other. So no
+    link of a bucket is lost, and a family of variants isn't listed pair by pair.
     """
-    least = materialise(lines.groupBy("simhash").agg(F.min("key").alias("least"), F.count("*").alias("n")), "line-simhashes")
-    close = materialise(close_simhashes(least.select("simhash"), least.count()), "line-close")
-    same = lines.join(least.filter("n > 1"), "simhash").filter("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
-    of_x = least.select(F.col("simhash").alias("x"), F.col("least").alias("a"), F.col("n").alias("nx"))
-    of_y = least.select(F.col("simhash").alias("y"), F.col("least").alias("b"), F.col("n").alias("ny"))
-    left = materialise(close.join(of_x, "x").join(of_y, "y").select("x", "y", "a", "b", (F.col("nx") * F.col("ny") > 1).alias("several")), "line-candidates")
-    pairs = left
-    # Round 1: a line with the least one of its SimHash, and this with its least partner.
-    partner = left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    tried = materialise(same.unionByName(partner), "line-round")
-    links = materialise(_links(tried, lines, percent), "line-links")
+    facts = signatures.select("key", "size", "simhash")
+    keyed = signatures.select(F.explode("keys").alias("bucket"), "key")
+    heads = materialise(keyed.groupBy("bucket").agg(F.min("key").alias("pivot"), F.count("*").alias("lines")).filter("lines > 1"), "line-heads")
+    members = materialise(keyed.join(heads.filter("lines > 1").select("bucket", "pivot"), "bucket").filter("key <> pivot"), "line-members")
+    star = members.select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
+    sides = star.join(facts.select(F.col("key").alias("a"), F.struct("size", "simhash").alias("x")), "a").join(facts.select(F.col("key").alias("b"), F.struct("size", "simhash").alias("y")), "b")
+    tried = materialise(sides.filter(near_enough("x", "y", percent)).select("a", "b"), "line-pairs")
+    links = _links(tried, found, percent)
     roots = connected_components(links)
-    # Round 2: one pair for each two groups that have close SimHashes; round 3: all pairs left.
+    several = members.groupBy("bucket").agg(F.count("*").alias("others")).filter("others > 1").select("bucket")
+    others = materialise(members.select("bucket", "key").join(several, "bucket"), "line-others")
     for last in (False, True):
-        open_ = materialise(_still_open(left.join(tried, ["a", "b"], "left_anti"), roots), "line-open")
-        chosen = open_ if last else open_.groupBy(F.least("la", "lb").alias("l"), F.greatest("la", "lb").alias("r")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
-        chosen = materialise(chosen.select("a", "b"), "line-round")
-        found = materialise(_links(chosen, lines, percent), "line-links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
+        label = F.coalesce("root", "key").alias("label")
+        named = others.join(roots, F.col("key") == F.col("node"), "left").select("bucket", "key", label)
+        mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
+        open_ = materialise(named.join(mixed, "bucket"), "line-open")
+        chosen = open_ if last else open_.groupBy("bucket", "label").agg(F.min("key").alias("key"))
+        rows = materialise(chosen.join(facts, "key"), "line-round")
+        both = rows.alias("l").join(rows.alias("r"), F.expr(f"l.bucket = r.bucket and l.label < r.label and {near_enough('l', 'r', percent)}"))
+        pairs = both.select(F.least("l.key", "r.key").alias("a"), F.greatest("l.key", "r.key").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "line-pairs")
+        tried = tried.unionByName(pairs)
+        more = _links(pairs, found, percent)
+        if not more.isEmpty():
+            links = links.unionByName(more)
             roots = connected_components(links)
-        if last or chosen.isEmpty():
-            break
-        tried = tried.unionByName(chosen)
-    return _all_lines(pairs, lines, least, links, roots, percent)
-
-
-def _still_open(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """``pairs`` whose lines are in different groups, with the groups as la and lb."""
-    a, b = (roots.select(F.col("node").alias(f"node_{k}"), F.col("root").alias(f"root_{k}")) for k in "ab")
-    joined = pairs.join(a, F.col("a") == F.col("node_a"), "left").join(b, F.col("b") == F.col("node_b"), "left")
-    named = joined.withColumns({"la": F.coalesce("root_a", "a"), "lb": F.coalesce("root_b", "b")})
-    return named.filter("la <> lb").drop("node_a", "root_a", "node_b", "root_b")
-
-
-def _all_lines(pairs: DataFrame, lines: DataFrame, least: DataFrame, links: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Roots after the lines of SimHashes with several lines have been compared across groups."""
-    close = _still_open(pairs.filter("several"), roots).select("x", "y")
-    many = lines.select("key", "simhash").join(least.filter("n > 1").select("simhash"), "simhash")
-    labelled = many.join(roots, F.col("key") == F.col("node"), "left").groupBy("simhash").agg(F.min(F.coalesce("root", "key")).alias("lo"), F.max(F.coalesce("root", "key")).alias("hi"))
-    within = labelled.filter("lo <> hi").select(F.col("simhash").alias("x"), F.col("simhash").alias("y"))
-    mixed = labelled.filter("lo <> hi").select(F.col("simhash").alias("mixed"))
-    beside = [pairs.filter("several").join(mixed, F.col(c) == F.col("mixed"), "left_semi").select("x", "y") for c in "xy"]
-    open_ = materialise(reduce(DataFrame.unionByName, [close, within, *beside]).distinct(), "line-open")
-    if open_.isEmpty():
-        return roots
-    label = lines.select("key", "simhash").join(roots, F.col("key") == F.col("node"), "left").select("key", "simhash", F.coalesce("root", "key").alias("label"))
-    of_x = label.select(F.col("simhash").alias("x"), F.col("key").alias("kx"), F.col("label").alias("lx"))
-    of_y = label.select(F.col("simhash").alias("y"), F.col("key").alias("ky"), F.col("label").alias("ly"))
-    rest = open_.join(of_x, "x").join(of_y, "y").filter("lx <> ly").select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b")).distinct()
-    more = materialise(_links(rest, lines, percent), "line-more")
-    return roots if more.isEmpty() else materialise(connected_components(links.unionByName(more)), "line-roots")
+    return roots
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least_words: int = 5) -> DataFrame:
@@ -188,18 +200,17 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A line takes part if it has ``least_words`` words; shorter ones always
     stay. Lines are compared in lower case, without anything but letters, marks
     and digits, and with single spaces for blanks. Two lines are linked when
-    their SimHashes differ in at most three bits and their edit distance is at
-    most 100 - ``percent`` % of the longer one. Of a connected group, the
-    occurrence with the least id, then place, stays. Null and empty texts and rows with a null id lose
+    they share a block key, their SimHashes differ in at most ``REACH`` bits
+    and their edit distance is at most 100 - ``percent`` % of the longer one.
+    Of a connected group, the occurrence with the least id, then place, stays. Null and empty texts and rows with a null id lose
     nothing. Rows that share an id are one document: they lose the same
     places. Lines may have any length; equal ones are joined by a 64-bit hash.
     """
     filter_scans(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = _occurrences(rows, least_words).withColumn("key", F.xxhash64("norm"))
+    found = materialise(_occurrences(rows, least_words), "lines")
     lines = found.groupBy("key").agg(F.max("norm").alias("norm"))
-    lines = materialise(lines.join(_simhashes(lines), "key"), "lines")
-    groups = line_groups(lines, percent)
+    groups = line_groups(found, materialise(_signatures(lines), "line-signatures"), percent)
     placed = found.select("id", "pos", "key").join(groups, F.col("key") == F.col("node"), "left").select("id", "pos", F.coalesce("root", "key").alias("label"))
     placed = materialise(placed, "line-places")
     several = placed.groupBy("label").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("label", "first")

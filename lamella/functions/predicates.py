@@ -100,6 +100,17 @@ class BoolEq(RangeFilter):
     def mask(self, values: np.ndarray, dtype: T.DataType) -> np.ndarray | None:
         return values == self.value if isinstance(dtype, T.BooleanType) else None
 
+    def may_match(self, least: bool | None, greatest: bool | None, has_null: bool, dtype: T.DataType) -> bool:
+        if not isinstance(dtype, T.BooleanType):
+            return False
+        inside = least is not None and least <= self.value <= greatest
+        return inside or (has_null and self.null_allowed)
+
+    def may_match_column(self, least: Column, greatest: Column, has_null: Column, dtype: T.DataType) -> Column:
+        if not isinstance(dtype, T.BooleanType):
+            return _false()
+        return F.coalesce((least <= F.lit(self.value)) & (greatest >= F.lit(self.value)), _false()) | (has_null & F.lit(self.null_allowed))
+
     def __str__(self) -> str:
         return f"boolean = {self.value}, nulls {'pass' if self.null_allowed else 'fail'}"
 
@@ -168,11 +179,15 @@ class IntRange(RangeFilter):
         return np.zeros(len(values), bool) if bounds is None else (values >= bounds[0]) & (values <= bounds[1])
 
     def may_match(self, least: int | None, greatest: int | None, has_null: bool, dtype: T.DataType) -> bool:
+        if self._domain(dtype) is None:
+            return False
         bounds = self.clamped(dtype)
         inside = bounds is not None and least is not None and greatest >= bounds[0] and least <= bounds[1]
         return inside or (has_null and self.null_allowed)
 
     def may_match_column(self, least: Column, greatest: Column, has_null: Column, dtype: T.DataType) -> Column:
+        if self._domain(dtype) is None:
+            return _false()
         bounds = self.clamped(dtype)
         inside = _false() if bounds is None else (greatest >= self._literal(bounds[0], dtype)) & (least <= self._literal(bounds[1], dtype))
         return F.coalesce(inside, _false()) | (has_null & F.lit(self.null_allowed))
@@ -230,6 +245,8 @@ class FloatRange(RangeFilter):
         return out
 
     def may_match(self, least: float | None, greatest: float | None, has_null: bool, dtype: T.DataType) -> bool:
+        if not isinstance(dtype, (T.FloatType, T.DoubleType)):
+            return False
         lo, hi = self._bounds(dtype)
         inside = least is not None
         if inside and self.lower_bounded:
@@ -240,6 +257,8 @@ class FloatRange(RangeFilter):
 
     def may_match_column(self, least: Column, greatest: Column, has_null: Column, dtype: T.DataType) -> Column:
         """As ``may_match``; a greatest value of NaN leaves the zone in, as numbers may lie below it."""
+        if not isinstance(dtype, (T.FloatType, T.DoubleType)):
+            return _false()
         sides = [least.isNotNull()] + [_false()] * self._nan_bound()
         lo, hi = (F.lit(b).cast(dtype) for b in self._bounds(dtype))
         if self.lower_bounded:
@@ -302,5 +321,12 @@ class Custom(RangeFilter):
         values = F.coalesce(self.predicate(c), _false()) & c.isNotNull()
         return values | c.isNull() if self.null_allowed else values
 
+    def may_match(self, least: object, greatest: object, has_null: bool, dtype: T.DataType) -> bool:
+        """A zone with any value may match: the predicate isn't known to follow the order of values."""
+        return least is not None or (has_null and self.null_allowed)
+
+    def may_match_column(self, least: Column, greatest: Column, has_null: Column, dtype: T.DataType) -> Column:
+        return least.isNotNull() | (has_null & F.lit(self.null_allowed))
+
     def __str__(self) -> str:
         return f"custom predicate, nulls {'pass' if self.null_allowed else 'fail'}"

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lamella.errors import BackwardRead, BridgeTypeError
 from lamella.operators.position import row_range
@@ -81,8 +82,9 @@ class BatchReader:
 
     ``df`` is a positioned, possibly filtered scan of one file with
     ``total_rows`` physical rows. A batch holds the rows that pass of the next
-    ``size`` physical ones, so it may be smaller or empty. Each read is a job
-    of its own over a range of rows; for whole results use the DataFrame.
+    ``size`` physical ones, so it may be smaller or empty. ``read`` is a job of
+    its own over a range of rows; ``batches`` reads all that is left in one
+    ordered pass, of which the driver holds a partition and a batch.
     """
 
     def __init__(self, df: DataFrame, total_rows: int) -> None:
@@ -114,5 +116,16 @@ class BatchReader:
         raise TypeError("use batches(size)")
 
     def batches(self, size: int) -> Iterator[pa.Table]:
+        if size <= 0:
+            raise ValueError("batch size must be positive")
+        left = row_range(self.df, self.at, self.total).orderBy(ROW)
+        schema = to_arrow_schema(self.df.drop(FILE, ROW).schema)
+        rows = left.toLocalIterator(prefetchPartitions=True)
+        row = next(rows, None)
         while not self.finished:
-            yield self.read(size)
+            self.at = min(self.total, self.at + size)
+            held = []
+            while row is not None and row[ROW] < self.at:
+                held.append({name: row[name] for name in schema.names})
+                row = next(rows, None)
+            yield pa.Table.from_pylist(held, schema)

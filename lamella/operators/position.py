@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamella.sources import metadata
-from lamella.sources.parquet import FILE, ROW
+from lamella.sources.parquet import FILE, ROW, input_files
 
 
 def skip(df: DataFrame, rows: int) -> DataFrame:
@@ -57,8 +57,7 @@ def with_row_group_batches(spark: SparkSession, df: DataFrame, size: int) -> Dat
     Footers name the row groups' first rows; a file's list of them is joined
     to its rows.
     """
-    files = [r[0] for r in df.select(FILE).distinct().collect()]
-    starts = [(f, [g.first_row for g in metadata.footer(spark, f).row_groups]) for f in files]
+    starts = [(f, [g.first_row for g in metadata.footer(spark, f).row_groups]) for f in input_files(df)]
     table = spark.createDataFrame(starts, f"`{FILE}` string, starts array<long>")
     group = F.size(F.filter("starts", lambda s: s <= F.col(ROW))) - 1
     joined = df.join(table, FILE).withColumn("_row_group", group)

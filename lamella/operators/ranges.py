@@ -78,15 +78,27 @@ class RowRangeSet:
         return out
 
 
-def islands(df: DataFrame) -> DataFrame:
+#: Rows of a file in which runs are found at once.
+CHUNK = 1 << 20
+
+
+def islands(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(file, begin, end) of the maximal runs of row numbers in positioned rows.
 
-    Rows are dealt out by file, so a file's runs are found in one task and
-    files in parallel.
+    Rows are dealt out by file and chunk, so that a large file is many tasks.
+    Runs that reach a chunk's border, two a chunk at most, are then joined with
+    their neighbours, file by file.
     """
-    along = Window.partitionBy(FILE).orderBy(ROW)
-    numbered = df.select(FILE, ROW, (F.col(ROW) - F.row_number().over(along)).alias("_run"))
-    return numbered.groupBy(FILE, "_run").agg(F.min(ROW).alias("begin"), (F.max(ROW) + 1).alias("end")).drop("_run")
+    place = F.floor(F.col(ROW) / chunk)
+    along = Window.partitionBy(FILE, "_chunk").orderBy(ROW)
+    numbered = df.select(FILE, ROW, place.alias("_chunk")).withColumn("_run", F.col(ROW) - F.row_number().over(along))
+    runs = numbered.groupBy(FILE, "_chunk", "_run").agg(F.min(ROW).alias("begin"), (F.max(ROW) + 1).alias("end")).select(FILE, "begin", "end")
+    at_border = (F.col("begin") % chunk == 0) | (F.col("end") % chunk == 0)
+    in_order = Window.partitionBy(FILE).orderBy("begin")
+    fresh = F.when(F.lag("end").over(in_order) == F.col("begin"), 0).otherwise(1)
+    marked = runs.filter(at_border).withColumn("_fresh", fresh).withColumn("_group", F.sum("_fresh").over(in_order))
+    joined = marked.groupBy(FILE, "_group").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("_group")
+    return runs.filter(~at_border).unionByName(joined)
 
 
 def _or_null(begin: Column, end: Column) -> Column:

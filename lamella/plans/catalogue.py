@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping
+from decimal import Decimal
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.functions.predicates import BoolEq, Const, FloatRange, IntRange, RangeFilter
-from lamella.operators import position, ranges, zonemap
+from lamella.functions.predicates import BoolEq, Const, Custom, FloatRange, IntRange, RangeFilter
+from lamella.operators import arrow_io, position, ranges, zonemap
+from lamella.sources import metadata, row_groups
 from lamella.sources.parquet import FILE, ROW, predicate, read, scan, with_position
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -224,6 +228,99 @@ _add(
 )
 
 
+_add(
+    "zone_map_bool",
+    lambda s, d: zonemap.zone_map(_events(s, d).select("maybe_flag", FILE, ROW), "maybe_flag", 4, BoolEq(True)).drop(FILE),
+    f"""SELECT event_id // 4 AS batch, bool_and(maybe_flag) AS least, bool_or(maybe_flag) AS greatest, bool_or(maybe_flag IS NULL) AS has_null,
+        coalesce(bool_or(maybe_flag), false) AS may_match FROM {DERIVED} GROUP BY 1""",
+)
+_add(
+    "zone_map_other_kind",
+    lambda s, d: zonemap.zone_map(_events(s, d).select("small", FILE, ROW), "small", 512, FloatRange(1000.0, 3000.0, null_allowed=True)).drop(FILE),
+    f"SELECT event_id // 512 AS batch, min(small) AS least, max(small) AS greatest, bool_or(small IS NULL) AS has_null, false AS may_match FROM {DERIVED} GROUP BY 1",
+)
+
+# Filters of the caller's own, integers beyond 64 bits, several files, no columns, Arrow batches.
+_scan("filter_custom", "lineitem", LINE, f"SELECT {', '.join(LINE)} FROM lineitem WHERE l_linenumber % 3 = 1", {"l_linenumber": Custom(lambda c: c % 3 == 1)})
+_WIDE = 10**30
+
+
+def _wide(spark: SparkSession, d: str) -> DataFrame:
+    wide = (F.col("o_orderkey").cast("decimal(18,0)") + F.lit(Decimal(_WIDE)).cast("decimal(37,0)")).cast("decimal(38,0)")
+    df = scan(spark, f"{d}/orders.parquet", ["o_orderkey"]).withColumn("wide", wide)
+    return df.filter(IntRange(_WIDE + 100, 10**40).check_wide(F.col("wide"))).select("o_orderkey", F.col("wide").cast("string").alias("wide"))
+
+
+_add("filter_wide_integer", _wide, f"SELECT o_orderkey, (o_orderkey::HUGEINT + {_WIDE}::HUGEINT)::VARCHAR AS wide FROM orders WHERE o_orderkey >= 100")
+_add(
+    "scan_several_files",
+    lambda s, d: scan(s, [f"{d}/orders.parquet"] * 2, ["o_orderkey", "o_totalprice"], {"o_orderkey": IntRange(0, 99)}),
+    "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 0 AND 99 UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 0 AND 99",
+)
+_add("empty_projection", lambda s, d: scan(s, f"{d}/events.parquet", [], BIG).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM events WHERE value > 60")
+
+
+def _doubled(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column("event_id"), pc.multiply(batch.column("value"), 2.0)], ["event_id", "doubled"])
+
+
+_add(
+    "arrow_batches",
+    lambda s, d: arrow_io.map_arrow(scan(s, f"{d}/events.parquet", ["event_id", "value"], BIG), _doubled, "event_id long, doubled double"),
+    "SELECT event_id, value * 2 AS doubled FROM events WHERE value > 60",
+)
+
+# Row groups and footers.
+_add("row_group_scan", lambda s, d: row_groups.scan_rows(s, f"{d}/events.parquet", 300, 350, EVENT).select(*EVENT), f"SELECT {', '.join(EVENT)} FROM events WHERE event_id BETWEEN 300 AND 349")
+_add(
+    "row_group_batches",
+    lambda s, d: position.with_row_group_batches(s, _positioned(s, d), 256).groupBy(F.col("_row_group").alias("row_group"), F.col("_batch").alias("batch")).agg(F.count("*").alias("rows")),
+    "SELECT 0 AS row_group, event_id // 256 AS batch, count(*) AS rows FROM events GROUP BY ALL",
+)
+_NUMBERS = {"orders": ["o_orderkey", "o_custkey", "o_totalprice"], "lineitem": ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"]}
+
+
+def _footer_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """What the footers say of number columns, over all row groups."""
+    rows = [
+        (table, c.path[0], c.values, c.nulls, float(c.least), float(c.greatest))
+        for table, names in _NUMBERS.items()
+        for file in read(spark, f"{d}/{table}.parquet").inputFiles()
+        for group in metadata.footer(spark, file).row_groups
+        for c in group.columns
+        if c.path[0] in names
+    ]
+    found = spark.createDataFrame(rows, "source string, name string, n long, nulls long, least double, greatest double")
+    return found.groupBy("source", "name").agg(F.sum("n").alias("n"), F.sum("nulls").alias("nulls"), F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+
+
+_add(
+    "footer_statistics",
+    _footer_statistics,
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS source, '{c}' AS name, count(*) AS n, count(*) - count({c}) AS nulls, min({c})::DOUBLE AS least, max({c})::DOUBLE AS greatest FROM {t}" for t, names in _NUMBERS.items() for c in names
+    ),
+)
+
+
+def _footer_schema(spark: SparkSession, d: str) -> DataFrame:
+    columns = metadata.footer(spark, read(spark, f"{d}/embeddings.parquet").inputFiles()[0]).columns
+    return spark.createDataFrame([(".".join(c.path), c.index, c.physical_type, c.max_def, c.max_rep) for c in columns], "path string, place int, physical_type string, max_def int, max_rep int")
+
+
+_add(
+    "footer_schema",
+    _footer_schema,
+    """SELECT * FROM (VALUES ('vec_id', 0, 'INT64', 1, 0), ('embedding.list.element', 1, 'FLOAT', 3, 1), ('label', 2, 'INT32', 1, 0))
+       AS t(path, place, physical_type, max_def, max_rep)""",
+)
+_add(
+    "schema_levels",
+    lambda s, d: s.createDataFrame([(k, *v) for k, v in metadata.schema_tree(read(s, f"{d}/embeddings.parquet").schema).items()], "path string, max_def int, max_rep int"),
+    "SELECT * FROM (VALUES ('vec_id', 1, 0), ('embedding.element', 3, 1), ('label', 1, 0)) AS t(path, max_def, max_rep)",
+)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three filters over lineitem, the most selective first."""
     filters = {"l_discount": FloatRange(0.05, 0.07, lower_included=True, upper_included=True), "l_linenumber": IntRange(2, 4), "l_quantity": FloatRange(upper=24.0, lower_bounded=False)}

@@ -36,6 +36,11 @@ def read(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
 
 
+def input_files(df: DataFrame) -> list[str]:
+    """The files of a scan, named as ``with_position`` names them."""
+    return [f"file:/{f.removeprefix('file:///')}" if f.startswith("file:///") else f for f in df.inputFiles()]
+
+
 def scan(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -67,6 +72,6 @@ def with_position(df: DataFrame) -> DataFrame:
     """``df``, a plain file scan, with each row's file and its row number in that file.
 
     Must be called on the scan itself: after a join or an aggregation the
-    position is gone. Row numbers run on across row groups.
+    position is gone. Columns of the file with these names are replaced. Row numbers run on across row groups.
     """
     return df.withColumns({FILE: F.col("_metadata.file_path"), ROW: F.col("_metadata.row_index")})

@@ -271,3 +271,47 @@ def test_command_line(spark, make, capsys):
 
 def test_positions_agree_with_row_numbers(spark, make):
     assert with_position(spark.read.parquet(make())).filter(F.col("int") != F.col(ROW)).count() == 0
+
+
+def test_row_groups_outside_the_range_are_not_read(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from lamella.sources import row_groups
+
+    for name, n in (("a", 1000), ("b", 130)):
+        table = pa.table({"i": pa.array(range(n), pa.int64()), "s": [None if i % 5 == 0 else f"v{i}" for i in range(n)], "t": pa.array([i * 1000 for i in range(n)], pa.timestamp("us"))})
+        pq.write_table(table, tmp_path / f"{name}.parquet", row_group_size=100)
+    paths = [f"file://{tmp_path}/{x}.parquet" for x in "ab"]
+    assert len(row_groups.row_groups(spark, paths)) == 12
+    df = row_groups.scan_rows(spark, paths, 120, 305, ["t", "i", "s"])
+    want = scan(spark, paths, ["t", "i", "s"], position=True).filter("_row >= 120 and _row < 305")
+    assert df.columns == want.columns and sorted(map(str, df.collect())) == sorted(map(str, want.collect()))
+    # Damage in row groups outside the range isn't met.
+    data = bytearray((tmp_path / "a.parquet").read_bytes())
+    start = metadata.footer(spark, paths[0]).row_groups[7].offset
+    data[start : start + 200] = b"\0" * 200
+    (tmp_path / "c.parquet").write_bytes(bytes(data))
+    assert row_groups.scan_rows(spark, f"file://{tmp_path}/c.parquet", 0, 250, ["i"]).count() == 250
+    assert row_groups.scan_rows(spark, paths, 5000, 6000).count() == 0 and row_groups.scan_rows(spark, paths, 10, 10).count() == 0
+    batches = position.with_row_group_batches(spark, scan(spark, paths, ["i"], position=True), 64)
+    got = {(r["_row_group"], r["_batch"]): r["n"] for r in batches.groupBy("_row_group", "_batch").agg(F.count("*").alias("n")).collect()}
+    assert got[0, 0] == 128 and got[0, 1] == 72 and got[1, 0] == 64 + 30 and got[9, 1] == 36
+
+
+def test_runs_across_chunks(spark):
+    hits = [i for i in range(500) if not (i % 37 == 0 or 120 <= i < 260)]
+    df = spark.createDataFrame([("f", i) for i in hits] + [("g", i) for i in range(0, 40)], "`_file` string, `_row` long")
+    want = {("f", r.begin, r.end) for r in ranges.RowRangeSet.of_matches([i in set(hits) for i in range(500)]).ranges} | {("g", 0, 40)}
+    for chunk in (1, 7, 64, 1 << 20):
+        assert {(r["_file"], r.begin, r.end) for r in ranges.islands(df, chunk).collect()} == want
+
+
+def test_zone_maps_of_another_kind_match_nothing():
+    from pyspark.sql import types as T
+
+    assert not IntRange(0, 5, null_allowed=True).may_match(1.0, 2.0, True, T.DoubleType())
+    assert not FloatRange(0.0, 5.0, null_allowed=True).may_match(1, 2, True, T.LongType())
+    assert not BoolEq(True, True).may_match(1, 2, True, T.LongType())
+    assert BoolEq(True).may_match(False, True, False, T.BooleanType()) and not BoolEq(True).may_match(False, False, True, T.BooleanType())
+    assert BoolEq(True, True).may_match(None, None, True, T.BooleanType())

@@ -43,6 +43,10 @@ class ColumnChunk:
     least: str | None
     greatest: str | None
     nulls: int | None
+    #: Where the chunk's Bloom filter, column index and offset index begin in the file.
+    bloom_filter: int | None
+    column_index: int | None
+    offset_index: int | None
 
 
 @dataclass(frozen=True)
@@ -71,7 +75,7 @@ def _strings(java_list: object) -> tuple[str, ...]:
 
 
 def _chunk(c: object) -> ColumnChunk:
-    stats = c.getStatistics()
+    stats, column_index, offset_index, bloom_filter = c.getStatistics(), c.getColumnIndexReference(), c.getOffsetIndexReference(), c.getBloomFilterOffset()
     valued = stats is not None and stats.hasNonNullValue()
     return ColumnChunk(
         path=tuple(c.getPath().toArray()),
@@ -86,6 +90,9 @@ def _chunk(c: object) -> ColumnChunk:
         least=stats.minAsString() if valued else None,
         greatest=stats.maxAsString() if valued else None,
         nulls=stats.getNumNulls() if stats is not None and stats.isNumNullsSet() else None,
+        bloom_filter=bloom_filter if bloom_filter >= 0 else None,
+        column_index=None if column_index is None else column_index.getOffset(),
+        offset_index=None if offset_index is None else offset_index.getOffset(),
     )
 
 

@@ -315,3 +315,17 @@ def test_zone_maps_of_another_kind_match_nothing():
     assert not BoolEq(True, True).may_match(1, 2, True, T.LongType())
     assert BoolEq(True).may_match(False, True, False, T.BooleanType()) and not BoolEq(True).may_match(False, False, True, T.BooleanType())
     assert BoolEq(True, True).may_match(None, None, True, T.BooleanType())
+
+
+def test_footers_name_the_indexes(spark, tmp_path):
+    table = pa.table({"i": pa.array(range(500), pa.int64())})
+    found = {}
+    for name in (True, False):
+        pq.write_table(table, tmp_path / f"{name}.parquet", write_page_index=name)
+        found[name] = metadata.footer(spark, f"{tmp_path}/{name}.parquet").row_groups[0].columns[0]
+    spark.range(500).write.option("parquet.bloom.filter.enabled#id", "true").option("parquet.enable.dictionary", "false").parquet(f"{tmp_path}/bloom")
+    files = spark.read.parquet(f"{tmp_path}/bloom").inputFiles()
+    bloomed = [c.bloom_filter for f in files for g in metadata.footer(spark, f).row_groups for c in g.columns]
+    assert found[True].column_index > 0 and found[True].offset_index > 0 and found[True].bloom_filter is None
+    assert found[False].column_index is None and found[False].offset_index is None
+    assert bloomed and all(x > 0 for x in bloomed)

@@ -36,6 +36,8 @@ from lamella.llm.packed import pack_sorted, shard_slices, unpack_sorted
 SLOT_PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Signatures that a map task gathers before it sends them, and bytes of input per shard.
 FLUSH, SHARD_BYTES = 1 << 20, 64 << 20
+#: Members of open buckets with one pivot of which all pairs are taken.
+DIRECT = 16
 _ODD = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _U32 = np.uint64(32)
 
@@ -309,10 +311,13 @@ def _numbered(elements: DataFrame) -> DataFrame:
 def _cross_pairs(buckets: DataFrame, pairs: DataFrame, roots: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Untested pairs (a, b) of different components that share a bucket and can be similar.
 
-    Every member of a bucket has been compared with its pivot, so a bucket is
-    open only if its other members are in several components. All open members
-    of one pivot are searched together, those in the pivot's own component only
-    as partners of others. A set has at most ``lost`` elements that a similar
+    A bucket in which all nodes have been compared with one pivot is open only
+    if its other nodes are in several components; where tasks had pivots of
+    their own, it is open if it has several components at all. The members of
+    open buckets with one least node, their pivot from here on, are searched
+    together, those in the pivot's own component only as partners of others. Of
+    up to DIRECT members, all pairs are taken, which is less than to compare
+    their elements. Of more: a set has at most ``lost`` elements that a similar
     one lacks. So a member with more than that which the pivot lacks shares one
     of its ``lost`` + 1 rarest with all that are similar to it. Where neither of
     two has so many, they differ in d(x) + d(y) - 2 c elements, where d is the
@@ -323,11 +328,17 @@ def _cross_pairs(buckets: DataFrame, pairs: DataFrame, roots: DataFrame, texts:
     lost.
     """
     label = F.coalesce("root", "node")
-    others = buckets.filter("node <> pivot").join(roots, "node", "left").select("sig", "node", "pivot", label.alias("label"))
-    mixed = others.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
-    open_ = materialise(others.join(mixed, "sig").select("node", "pivot", "label").distinct(), "jaccard-open")
     named = roots.select(F.col("node").alias("of"), "root")
-    members = open_.join(named, F.col("pivot") == F.col("of"), "left").select("pivot", "node", "label", (F.col("label") == F.coalesce("root", "pivot")).alias("central"))
+    labelled = buckets.join(roots, "node", "left").select("sig", "node", "pivot", label.alias("label"))
+    other = F.when(F.col("node") != F.col("pivot"), F.col("label"))
+    facts = [f(c).alias(f"{f.__name__}_{n}") for n, c in (("pivot", F.col("pivot")), ("label", F.col("label")), ("other", other)) for f in (F.min, F.max)]
+    mixed = labelled.groupBy("sig").agg(*facts).filter("min_label <> max_label and (min_pivot <> max_pivot or min_other <> max_other)").select("sig", "min_pivot")
+    open_ = materialise(labelled.drop("pivot").join(mixed, "sig").select(F.col("min_pivot").alias("pivot"), "node", "label").distinct(), "jaccard-open")
+    sizes = open_.groupBy("pivot").agg(F.count("*").alias("members"))
+    few = open_.join(sizes.filter(f"members <= {DIRECT}").select("pivot"), "pivot")
+    direct = few.alias("l").join(few.alias("r"), F.expr("l.pivot = r.pivot and l.node < r.node and l.label <> r.label")).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+    many = open_.join(sizes.filter(f"members > {DIRECT}").select("pivot"), "pivot")
+    members = many.join(named, F.col("pivot") == F.col("of"), "left").select("pivot", "node", "label", (F.col("label") == F.coalesce("root", "pivot")).alias("central"))
     found = materialise(_differences(members, texts, size, percent), "jaccard-differences")
     facts = found.select("pivot", "node", "label", "central", "n", "lost", "most", "near", F.size("far").alias("own"), F.when(F.col("near"), F.size("delta")).cast("long").alias("d"))
     can = f"l.label <> r.label and least(l.n, r.n) * 100 >= greatest(l.n, r.n) * {percent}"
@@ -353,7 +364,7 @@ def _cross_pairs(buckets: DataFrame, pairs: DataFrame, roots: DataFrame, texts:
     next_to = close.filter("d <= most")
     touching = next_to.filter("not central").alias("l").join(next_to.alias("r"), F.expr(f"l.pivot = r.pivot and l.d + r.d <= least(l.most, r.most) and {fits}"))
     found = [x.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct() for x in (apart, beside, touching)]
-    return found[0].unionByName(found[1]).unionByName(found[2]).distinct().join(pairs, ["a", "b"], "left_anti")
+    return direct.unionByName(found[0]).unionByName(found[1]).unionByName(found[2]).distinct().join(pairs, ["a", "b"], "left_anti")
 
 
 def join_components(

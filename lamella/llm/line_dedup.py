@@ -5,10 +5,10 @@ words. They vote on its SimHash, and each belongs by its hash to one of
 ``BLOCKS`` blocks, which are compared as a whole: an edited word changes one
 block, and no more than one for the word in its place, so by the pigeonhole
 principle lines with few edits agree on the others. (Blocks of the SimHash's
-own bits would not do: one word in ten replaced turns six of 60 bits on
-average, all over the blocks.) Lines of few words are joined on each two
-blocks, longer ones on single blocks; pairs whose SimHashes are near are
-compared by edit distance, and of each connected group of lines the first
+own bits would not do: similar lines differ in five of 60 bits at the median
+and in ten quite often, all over the blocks.) Lines of few words are joined on
+each two blocks, longer ones on single blocks; pairs whose SimHashes are near
+are compared by edit distance, and of each connected group of lines the first
 occurrence stays.
 """
 
@@ -36,12 +36,13 @@ LANES, LANE = 5, 12
 _ONES = sum(1 << LANE * i for i in range(LANES))
 #: Most differing bits of SimHashes whose lines are compared; most features that a part of a long can count, and a length
 #: that has no more, as two words have a space between them. Longer lines are compared whatever their SimHashes.
-REACH, MOST_VOTES = 15, (1 << (LANE - 1)) - 1
+#: A word is a large part of a short line, whose reach is wider.
+REACH, SHORT_REACH, SHORT_SIZE, MOST_VOTES = 15, 22, 100, (1 << (LANE - 1)) - 1
 MOST_SIZE = 2 * MOST_VOTES
 #: Half widths of the bands in which the edit distance is tried before the whole allowance.
 BANDS = (24, 80)
 #: Words that an alignment of words looks ahead.
-AHEAD = 8
+AHEAD = 4
 
 
 def normal_lines(text: Column) -> Column:
@@ -99,7 +100,8 @@ def _signatures(lines: DataFrame) -> DataFrame:
 def near_enough(a: str, b: str, percent: int) -> str:
     """Condition that lines of two signatures can be similar: by length, and by their SimHashes."""
     lengths = f"least({a}.size, {b}.size) * 100 >= greatest({a}.size, {b}.size) * {percent}"
-    return f"{lengths} and (greatest({a}.size, {b}.size) > {MOST_SIZE} or bit_count({a}.simhash ^ {b}.simhash) <= {REACH})"
+    reach = f"CASE WHEN greatest({a}.size, {b}.size) < {SHORT_SIZE} THEN {SHORT_REACH} WHEN greatest({a}.size, {b}.size) <= {MOST_SIZE} THEN {REACH} ELSE 64 END"
+    return f"{lengths} and bit_count({a}.simhash ^ {b}.simhash) <= {reach}"
 
 
 def _given(fn: Callable[[Column], Column], **values: Column) -> Column:
@@ -133,12 +135,15 @@ def _aligned_cost(a: Column, b: Column) -> Column:
 def similar_lines(a: Column, b: Column, percent: int) -> Column:
     """Edit distance at most (100 - percent) % of the longer line, for lines with words parted by single spaces.
 
-    An alignment of words bounds the distance and mostly settles it; else it is
-    worked out, in narrow bands first.
+    Alignments of words, from either side, bound the distance and mostly settle
+    it; else it is worked out, in narrow bands first.
     """
     most = F.floor(F.greatest(F.length(a), F.length(b)) * (100 - percent) / 100).cast("int")
-    bound = _given(lambda s: _aligned_cost(s["a"], s["b"]), a=F.split(a, " "), b=F.split(b, " "))
-    out = F.when(bound <= most, True)
+
+    def bound(x: Column, y: Column) -> Column:
+        return _given(lambda s: _aligned_cost(s["x"], s["y"]), x=F.split(x, " "), y=F.split(y, " "))
+
+    out = F.when(bound(a, b) <= most, True).when(bound(b, a) <= most, True)
     for band in BANDS:
         near = F.call_function("levenshtein", a, b, F.least(most, F.lit(band))) >= 0
         out = out.when(near, True).when(most <= band, False)
@@ -201,9 +206,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stay. Lines are compared in lower case, without anything but letters, marks
     and digits, and with single spaces for blanks. Two lines are linked when
     they share a block key, their SimHashes differ in at most ``REACH`` bits
-    and their edit distance is at most 100 - ``percent`` % of the longer one.
-    Of a connected group, the occurrence with the least id, then place, stays. Null and empty texts and rows with a null id lose
-    nothing. Rows that share an id are one document: they lose the same
+    (``SHORT_REACH`` in short lines) and their edit distance is at most 100 - ``percent`` % of the longer one.
+    Of a connected group, the occurrence with the least id, then place, stays.
+    Null and empty texts and rows with a null id lose nothing. Rows that share an id are one document: they lose the same
     places. Lines may have any length; equal ones are joined by a 64-bit hash.
     """
     filter_scans(docs.sparkSession)

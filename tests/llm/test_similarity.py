@@ -36,8 +36,9 @@ def shingles(text, k):
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
-@pytest.mark.parametrize(("seed", "k", "percent"), [(1, 4, 85), (2, 5, 80), (3, 3, 60)])
-def test_components_are_those_of_all_pairs(spark, seed, k, percent):
+@pytest.mark.parametrize(("seed", "k", "percent", "direct"), [(1, 4, 85, 16), (2, 5, 80, 0), (3, 3, 60, 0), (4, 3, 70, 4)])
+def test_components_are_those_of_all_pairs(spark, monkeypatch, seed, k, percent, direct):
+    monkeypatch.setattr(ngram_jaccard, "DIRECT", direct)
     rows = family_rows(seed)
     sets = {i: shingles(t, k) for i, t in rows}
     want = components(sets, lambda a, b: bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]))
@@ -46,6 +47,23 @@ def test_components_are_those_of_all_pairs(spark, seed, k, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), want[i]) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("direct", [0, 16])
+def test_links_across_tasks_with_pivots_of_their_own(spark, monkeypatch, direct):
+    monkeypatch.setattr(ngram_jaccard, "DIRECT", direct)
+    monkeypatch.setattr(ngram_jaccard, "FLUSH", 100)
+    rng = random.Random(21)
+    # Variants of a few texts, most of them less alike than the limit, and a passage that many texts have.
+    bases, passage = [prose(rng, 60) for _ in range(4)], prose(rng, 40)
+    texts = [edited(rng, rng.choice(bases), rng.randrange(1, 9)) for _ in range(150)]
+    texts += [f"{prose(rng, 12)} {passage} {prose(rng, 12)}" for _ in range(50)] + [edited(rng, passage, rng.randrange(0, 6)) for _ in range(30)]
+    rows = list(enumerate(texts))
+    sets = {i: shingles(t, 3) for i, t in rows}
+    want = components(sets, lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.join_components(df, shingle_words=3, percent=75).collect()}
+    assert got == want and 20 < len(set(want.values())) < 200
+
+
 def test_every_near_pair_shares_a_signature():
     rng = np.random.default_rng(4)
     bands = ngram_jaccard.Bands(85)
@@ -82,7 +100,7 @@ def test_packed_keys():
 
 
 def line_signature(norm):
-    """Features, SimHash and block keys of a line, as ``line_dedup`` says them."""
+    """Number of features, SimHash and block keys of a line, as ``line_dedup`` says them."""
     feats = [w for w in norm.split(" ") if len(w) >= line_dedup.FEATURE] or norm.split(" ")
     n, blocks, sums = len(feats), [0] * line_dedup.BLOCKS, [0] * 60
     for w in feats:
@@ -141,8 +159,9 @@ def groups_of_lines(rows, by_blocks, percent=80, least_words=5):
         if abs(len(a) - len(b)) > most or len(threes[a] - threes[b]) > 3 * most:
             return False
         if by_blocks:
-            (na, sa, ka), (nb, sb, kb) = signatures[a], signatures[b]
-            if not ka & kb or max(na, nb) <= line_dedup.MOST_VOTES and bin(sa ^ sb).count("1") > line_dedup.REACH:
+            (_, sa, ka), (_, sb, kb) = signatures[a], signatures[b]
+            reach = line_dedup.SHORT_REACH if max(len(a), len(b)) < line_dedup.SHORT_SIZE else line_dedup.REACH
+            if not ka & kb or max(len(a), len(b)) <= line_dedup.MOST_SIZE and bin(sa ^ sb).count("1") > reach:
                 return False
         return text_distance(a, b) <= most
 

@@ -9,6 +9,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__
@@ -42,6 +43,14 @@ def test_query_matches_sql(spark, db, name):
     assert sorted([plain(v) for v in r] for r in got.collect()) == sorted([plain(r[i]) for i in order] for r in want.fetchall())
 
 
+def test_row_group_batches_match_sql_on_several_row_groups(spark, tmp_path):
+    pq.write_table(pq.read_table(f"{SF}/events.parquet"), tmp_path / "events.parquet", row_group_size=300)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = catalogue.queries()["row_group_batches"](spark, str(tmp_path)).select("row_group", "batch", "rows").collect()
+    assert len(got) > 1 and sorted(map(tuple, got)) == sorted(con.sql(catalogue.oracle_sql()["row_group_batches"]).fetchall())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

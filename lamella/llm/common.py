@@ -75,10 +75,17 @@ def drop_scratch(spark: SparkSession, since: int = 0, keep: str | None = None) -
     return gone
 
 
-def materialise(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write a table to the shared scratch folder and read it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, label: str = "table", group_rows: int | None = None) -> DataFrame:
+    """Write a table to the shared scratch folder and read it back: cuts lineage, survives lost executors.
+
+    Tables of rows of megabytes are given ``group_rows``, the rows of a row group: Parquet's writer else looks at a group's
+    size only after 100 rows, and Spark's reader takes up to 4096 rows of a group at once.
+    """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if group_rows is not None:
+        writer = writer.option("parquet.block.row.count.limit", group_rows)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

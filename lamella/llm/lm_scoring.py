@@ -29,7 +29,9 @@ from lamella.llm.common import lower_words_of, materialise, mix64, parts_for, pr
 from lamella.llm.packed import pack_sorted, shard_slices, unpack_sorted
 
 #: Bytes of text in one block (a longer text is a block of its own), and bytes of stored blocks per shard.
-BLOCK_BYTES, SHARD_BYTES = 6 << 20, 16 << 20
+BLOCK_BYTES, SHARD_BYTES = 6 << 20, 8 << 20
+#: Stored blocks of a row group, and n-grams that a shard counts at once.
+GROUP_ROWS, COUNTED = 2, 1 << 19
 #: Blocks that a task walks, one after the other.
 BLOCKS_A_TASK = 2
 _ODD = mix64(np.arange(101, 133, dtype=np.uint64)) | np.uint64(1)
@@ -127,6 +129,34 @@ def _asked(blocks: DataFrame, order: int, shards: int) -> DataFrame:
     return blocks.select("block", "held_out", "texts").mapInArrow(run, "block long, shard int, n int, keys binary, counts binary")
 
 
+def corpus_counts(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[tuple[np.ndarray, np.ndarray]], int, int]:
+    """For each array of sorted keys, what all arrays count of them; and all training tokens and kinds of n-grams.
+
+    Most counts are small: a byte each, and those of 255 and more after them.
+    About COUNTED keys are taken at once, a range of the key space after the
+    other, so that what is held besides the keys doesn't grow with their number.
+    """
+    total = sum(map(len, keys))
+    if not total:
+        return [(np.empty(0, np.uint8), np.empty(0, np.int64)) for _ in keys], 0, 0
+    low, high = (int(f(int(k[i]) for k in keys if len(k))) for f, i in ((min, 0), (max, -1)))
+    pieces = -(-total // COUNTED)
+    borders = np.array([low + (high - low) * i // pieces for i in range(1, pieces)], np.uint64)
+    cuts = [[0, *np.searchsorted(k, borders).tolist(), len(k)] for k in keys]
+    small, large = [np.empty(len(k), np.uint8) for k in keys], [[np.empty(0, np.int64)] for _ in keys]
+    tokens = kinds = 0
+    for i in range(pieces):
+        distinct, at = np.unique(np.concatenate([k[c[i] : c[i + 1]] for k, c in zip(keys, cuts, strict=True)]), return_inverse=True)
+        times = np.bincount(at, weights=np.concatenate([x[c[i] : c[i + 1]] for x, c in zip(counts, cuts, strict=True)]), minlength=len(distinct)).astype(np.int64)
+        tokens, kinds = tokens + int(times.sum()), kinds + int((times > 0).sum())
+        given, begin = times[at], 0
+        for s, rest, c in zip(small, large, cuts, strict=True):
+            part = given[begin : (begin := begin + c[i + 1] - c[i])]
+            s[c[i] : c[i + 1]] = np.minimum(part, 255)
+            rest.append(part[part >= 255])
+    return [(s, np.concatenate(rest)) for s, rest in zip(small, large, strict=True)], tokens, kinds
+
+
 def _answered(asked: DataFrame, order: int, shards: int) -> DataFrame:
     """Rows (block, shard, n, counts, tokens, kinds): corpus counts in the order asked for.
 
@@ -135,22 +165,13 @@ def _answered(asked: DataFrame, order: int, shards: int) -> DataFrame:
     """
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        keys = [unpack_sorted(r["keys"]) for r in rows]
-        counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows])
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
-        given = total[at]
-        cuts = np.cumsum([0, *map(len, keys)])
-        # Most counts are small: a byte each, and the few large ones after them.
-        out = []
-        for i, r in enumerate(rows):
-            part = given[cuts[i] : cuts[i + 1]]
-            small = np.minimum(part, 255).astype(np.uint8)
-            out.append((r["block"], r["shard"], r["n"], small.tobytes(), part[small == 255].tobytes(), int(total.sum()) if not i else 0, int((total > 0).sum()) if not i else 0))
+        views = [[np.frombuffer(x.as_buffer(), np.uint8) for x in table.column(c)] for c in ("keys", "counts")]
+        given, tokens, kinds = corpus_counts([unpack_sorted(x) for x in views[0]], [x.view(np.uint32) for x in views[1]])
+        first = np.arange(len(given)) == 0
+        columns = [*(table.column(c) for c in ("block", "shard", "n")), *([x.tobytes() for x in c] for c in zip(*given, strict=True)), first * tokens, first * kinds]
         types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
         names = ["block", "shard", "n", "small", "large", "tokens", "kinds"]
-        return pa.table({k: pa.array(c, t) for k, c, t in zip(names, zip(*out, strict=True), types, strict=True)})
+        return pa.table({k: c if isinstance(c, pa.ChunkedArray) else pa.array(c, t) for k, c, t in zip(names, columns, types, strict=True)})
 
     # As many tasks as shards, so that a task's part doesn't grow with the corpus.
     return asked.repartition(order * shards, "n", "shard").groupBy("n", "shard").applyInArrow(count, "block long, shard int, n int, small binary, large binary, tokens long, kinds long")
@@ -269,7 +290,7 @@ def score(
     spark: SparkSession = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    blocks = materialise(_blocks(rows), "lm-blocks")
+    blocks = materialise(_blocks(rows), "lm-blocks", GROUP_ROWS)
     shards = parts_for(blocks, SHARD_BYTES, least=24)
     answers = materialise(_answered(_asked(blocks, order, shards), order, shards), "lm-counts")
     totals = answers.filter("n = 1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()

@@ -18,7 +18,7 @@ def pack_sorted(keys: np.ndarray) -> bytes:
     return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def unpack_sorted(data: bytes) -> np.ndarray:
+def unpack_sorted(data: bytes | np.ndarray) -> np.ndarray:
     steps = np.frombuffer(data, np.uint8).reshape(8, -1).T
     return np.cumsum(np.ascontiguousarray(steps).view(np.uint64).ravel(), dtype=np.uint64)
 

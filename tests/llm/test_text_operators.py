@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamella.llm import lm_scoring, mixing, quality_rules, token_counts
+from lamella.llm.common import materialise
+from lamella.sources import metadata
 from tests.llm.helpers import lower, prose, words
 
 ODD = [
@@ -102,6 +105,35 @@ def measures(text):
     return len(w), sum(map(len, w)), sum(raw.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
 
 
+def test_lm_blocks_are_stored_in_small_row_groups(spark):
+    text = "word " * (lm_scoring.BLOCK_BYTES // 5)
+    docs = spark.range(6).coalesce(1).selectExpr("id", "false as held_out", f"concat('{text}', id) as text")
+    blocks = materialise(lm_scoring._blocks(docs), "lm-blocks", lm_scoring.GROUP_ROWS)
+    groups = [g.rows for f in blocks.inputFiles() for g in metadata.footer(spark, f).row_groups]
+    assert sum(groups) == 6 and max(groups) <= 2
+
+
+def test_corpus_counts_of_many_pieces_in_little_memory():
+    rng = np.random.default_rng(5)
+    keys = [np.unique(rng.integers(0, 1 << 21, 100_000, np.uint64) << np.uint64(30)) for _ in range(40)]
+    counts = [rng.integers(0, 40, len(k)).astype(np.uint32) for k in keys]
+    tracemalloc.start()
+    given, tokens, kinds = lm_scoring.corpus_counts(keys, counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * sum(x.nbytes for x in keys)
+    want = np.zeros(1 << 21, np.int64)
+    for k, c in zip(keys, counts, strict=True):
+        want[(k >> np.uint64(30)).astype(np.int64)] += c
+    assert tokens == want.sum() and kinds == (want > 0).sum() and want.max() >= 255
+    for k, (small, large) in zip(keys, given, strict=True):
+        out = small.astype(np.int64)
+        out[out == 255] = large
+        assert (out == want[(k >> np.uint64(30)).astype(np.int64)]).all()
+    assert [len(x) for x in lm_scoring.corpus_counts([np.empty(0, np.uint64)], [np.empty(0, np.uint32)])[0][0]] == [0, 0]
+
+
+
 def test_quality_measures(docs, spark):
     rng = random.Random(2)
     extra = [(2000 + i, " ".join(rng.choice("ab") for _ in range(n)) + "\n#x <|>\n\nx\nx", "en", "s") for i, n in enumerate([3, 8, 9, 20, 60])]

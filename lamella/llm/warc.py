@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.common import materialise, parts_for, prepare, scratch_path
+from lamella.llm.common import BATCH_BYTES, materialise, parts_for, prepare, scratch_path
 from lamella.llm.url_filter import host_of
 
 #: Captures of a block; bytes after which a task begins another WARC file; most index parts.
@@ -224,6 +224,19 @@ class Index:
             p += 1
 
 
+def by_bytes(records: Iterable[Record], most: int = BATCH_BYTES) -> Iterator[list[Record]]:
+    """Runs of records; a run ends with the record that brings its payloads to ``most`` bytes."""
+    held, size = [], 0
+    for r in records:
+        held.append(r)
+        size += len(r.payload)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def read_captures(requests: DataFrame, parts: DataFrame, root: str, tasks: int) -> DataFrame:
     """Records of the distinct ``requests`` (key, capture): capture, kind, refers_to, digest, length, payload.
 
@@ -239,9 +252,9 @@ def read_captures(requests: DataFrame, parts: DataFrame, root: str, tasks: int)
         types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         for batch in batches:
             asked = zip(batch.column("key").to_pylist(), batch.column("capture").to_pylist(), strict=True)
-            found = [parse_record(records.read(*place)) for key, capture in asked for place in index.find(key, capture)]
-            columns = list(zip(*found, strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            found = (parse_record(records.read(*place)) for key, capture in asked for place in index.find(key, capture))
+            for some in by_bytes(found):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names)
 
     # Dealt by key range, so that a task's look-ups are in few index blocks.
     dealt = requests.repartitionByRange(tasks, "key", "capture").sortWithinPartitions("key", "capture")

@@ -209,3 +209,18 @@ def test_scratch_tables_can_be_dropped(spark):
     assert spark.read.parquet(path).count() == 3
     assert common.drop_scratch(spark) >= 1 and not os.path.exists(path.removeprefix("file://").removeprefix("file:"))
     assert common.scratch_root(spark) == common.scratch_root(spark)
+
+
+def test_records_read_back_are_held_a_few_at_once():
+    taken = []
+
+    def records():
+        for i in range(10):
+            taken.append(i)
+            yield warc.Record(str(i), "response", None, "", 6 << 20, b"x" * (6 << 20))
+
+    runs = []
+    for held in warc.by_bytes(records()):
+        runs.append([r.capture for r in held])
+        assert len(taken) == sum(map(len, runs)) and len(held) <= 3
+    assert sum(runs, []) == [str(i) for i in range(10)] and list(warc.by_bytes([])) == []

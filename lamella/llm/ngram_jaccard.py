@@ -12,7 +12,7 @@ Sets, not documents, are joined: copies are one node. Signatures travel packed
 near copies of any size reaches a shard as one node per task. Within a bucket
 all nodes are compared with the least one, its pivot; where the links found so
 far leave the others of a bucket in several components, pairs across
-components are searched by how their members differ from the pivot (see
+components are searched by how their members differ from a common centre (see
 ``_cross_pairs``), which loses no link and doesn't list the pairs of a group.
 """
 
@@ -38,6 +38,8 @@ SLOT_PAIRS = ((0, 1), (0, 2), (1, 2))
 FLUSH, SHARD_BYTES = 1 << 20, 64 << 20
 #: Members of open buckets with one pivot of which all pairs are taken.
 DIRECT = 16
+#: Bits of a set's sketch.
+SKETCH = 512
 _ODD = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _U32 = np.uint64(32)
 
@@ -77,6 +79,12 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Which of SKETCH classes of hashes hold an odd number of the set's elements, as longs; two sets differ in as many elements as their sketches in bits, or more."""
+    odd = np.bincount((shingles & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 class Bands:
     """Size bands [low, high] with high = low * 100 // percent, and the most differences k of a pair.
 
@@ -257,6 +265,23 @@ def _texts_of(nodes: DataFrame, owned: DataFrame, docs: DataFrame, size: int) ->
     return materialise(map_batches(found, own, "node long, text string").dropDuplicates(["node"]), "jaccard-texts")
 
 
+def _families(open_: DataFrame, shares: DataFrame) -> DataFrame:
+    """(pivot, node, label, central) of the members (pivot, node, label) of open buckets, with families that have members in common as one.
+
+    A family goes to the least pivot that a member of it has. All its pairs
+    stay together, and a node that was with several pivots is there once, or
+    a few times. The ``pivot`` given is the family's centre: the member with
+    the most ``shares`` (node, shares), the buckets that it has in common with
+    others, as it is the one with fewest changes of its own. ``central`` are
+    those in its component.
+    """
+    least = open_.groupBy("node").agg(F.min("pivot").alias("least"))
+    to = open_.join(least, "node").groupBy("pivot").agg(F.min("least").alias("family"))
+    merged = materialise(open_.join(to, "pivot").select("family", "node", "label").distinct().join(shares, "node"), "jaccard-families")
+    centres = merged.groupBy("family").agg(F.max(F.struct("shares", "node", "label")).alias("centre"))
+    return merged.join(centres, "family").select(F.col("centre.node").alias("pivot"), "node", "label", (F.col("label") == F.col("centre.label")).alias("central"))
+
+
 def _differences(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """``members`` (pivot, node, label, central) with how each one's set differs from its pivot's.
 
@@ -264,6 +289,7 @@ def _differences(members: DataFrame, texts: DataFrame, size: int, percent: int)
     ``lost`` the most elements that a set similar to it can lack, ``most`` the
     largest difference from such a set. It is ``near`` if its own elements are
     no more than ``lost``; only then is ``delta``, its whole difference, given.
+    It is ``alike`` if it is similar to the pivot, and then central too.
     """
     both = (
         members.join(texts.select("node", F.col("text").alias("text_x")), "node")
@@ -282,7 +308,7 @@ def _differences(members: DataFrame, texts: DataFrame, size: int, percent: int)
             return recent[pivot]
 
         for batch in batches:
-            n, lost, most, near, far, delta = [], [], [], [], [], []
+            n, lost, most, near, alike, bits, far, delta = [], [], [], [], [], [], [], []
             for r in batch.select(["pivot", "text_x", "text_c"]).to_pylist():
                 x, c = shingle_set(r["text_x"], size, hashes), centre(r["pivot"], r["text_c"])
                 own = np.setdiff1d(x, c, assume_unique=True)
@@ -290,14 +316,18 @@ def _differences(members: DataFrame, texts: DataFrame, size: int, percent: int)
                 lost.append(len(x) * (100 - percent) // 100)
                 most.append(len(x) * (100 - percent) // percent)
                 near.append(len(own) <= lost[-1])
+                alike.append(100 * (len(x) - len(own)) >= percent * (len(c) + len(own)))
+                bits.append(sketch(x))
                 far.append(own.view(np.int64))
                 delta.append(np.setxor1d(x, c, assume_unique=True).view(np.int64) if near[-1] else None)
+            central = pa.array([x or y for x, y in zip(batch.column("central").to_pylist(), alike, strict=True)], pa.bool_())
             numbers = [pa.array(x, pa.int64()) for x in (n, lost, most)]
-            arrays = [pa.array(x, pa.list_(pa.int64())) for x in (far, delta)]
-            kept = [batch.column(c) for c in ("pivot", "node", "label", "central")]
-            yield pa.RecordBatch.from_arrays([*kept, *numbers, pa.array(near, pa.bool_()), *arrays], ["pivot", "node", "label", "central", "n", "lost", "most", "near", "far", "delta"])
+            arrays = [pa.array(x, pa.list_(pa.int64())) for x in (bits, far, delta)]
+            kept = [batch.column(c) for c in ("pivot", "node", "label")]
+            yield pa.RecordBatch.from_arrays([*kept, central, *numbers, pa.array(near, pa.bool_()), pa.array(alike, pa.bool_()), *arrays], names)
 
-    schema = "pivot long, node long, label long, central boolean, n long, lost long, most long, near boolean, far array<long>, delta array<long>"
+    schema = "pivot long, node long, label long, central boolean, n long, lost long, most long, near boolean, alike boolean, bits array<long>, far array<long>, delta array<long>"
+    names = [x.split()[0] for x in schema.split(", ")]
     return both.mapInArrow(run, schema)
 
 
@@ -314,10 +344,12 @@ def _cross_pairs(buckets: DataFrame, pairs: DataFrame, roots: DataFrame, texts:
     A bucket in which all nodes have been compared with one pivot is open only
     if its other nodes are in several components; where tasks had pivots of
     their own, it is open if it has several components at all. The members of
-    open buckets with one least node, their pivot from here on, are searched
-    together, those in the pivot's own component only as partners of others. Of
-    up to DIRECT members, all pairs are taken, which is less than to compare
-    their elements. Of more: a set has at most ``lost`` elements that a similar
+    open buckets with one least node are a family. Of up to DIRECT members, all
+    pairs are taken, which is less than to compare their elements. Larger
+    families that have members in common are joined and get a centre, their
+    pivot from here on (see ``_families``). Members that are similar to it are
+    pairs with it; they and those in its component are searched only as
+    partners of others. A set has at most ``lost`` elements that a similar
     one lacks. So a member with more than that which the pivot lacks shares one
     of its ``lost`` + 1 rarest with all that are similar to it. Where neither of
     two has so many, they differ in d(x) + d(y) - 2 c elements, where d is the
@@ -325,10 +357,11 @@ def _cross_pairs(buckets: DataFrame, pairs: DataFrame, roots: DataFrame, texts:
     common: they need a common element among the rarest of their differences
     unless both are next to the pivot. So neither a passage that many sets
     share nor a group of near copies is compared pair by pair, and no link is
-    lost.
+    lost. Nor is one by the sketches, which differ in no more bits than the sets
+    in elements: pairs whose sketches differ in more than similar sets can are
+    left out.
     """
     label = F.coalesce("root", "node")
-    named = roots.select(F.col("node").alias("of"), "root")
     labelled = buckets.join(roots, "node", "left").select("sig", "node", "pivot", label.alias("label"))
     other = F.when(F.col("node") != F.col("pivot"), F.col("label"))
     facts = [f(c).alias(f"{f.__name__}_{n}") for n, c in (("pivot", F.col("pivot")), ("label", F.col("label")), ("other", other)) for f in (F.min, F.max)]
@@ -338,15 +371,17 @@ def _cross_pairs(buckets: DataFrame, pairs: DataFrame, roots: DataFrame, texts:
     few = open_.join(sizes.filter(f"members <= {DIRECT}").select("pivot"), "pivot")
     direct = few.alias("l").join(few.alias("r"), F.expr("l.pivot = r.pivot and l.node < r.node and l.label <> r.label")).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
     many = open_.join(sizes.filter(f"members > {DIRECT}").select("pivot"), "pivot")
-    members = many.join(named, F.col("pivot") == F.col("of"), "left").select("pivot", "node", "label", (F.col("label") == F.coalesce("root", "pivot")).alias("central"))
+    members = _families(many, buckets.groupBy("node").agg(F.count("*").alias("shares")))
     found = materialise(_differences(members, texts, size, percent), "jaccard-differences")
-    facts = found.select("pivot", "node", "label", "central", "n", "lost", "most", "near", F.size("far").alias("own"), F.when(F.col("near"), F.size("delta")).cast("long").alias("d"))
-    can = f"l.label <> r.label and least(l.n, r.n) * 100 >= greatest(l.n, r.n) * {percent}"
+    centred = found.filter("alike and node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
+    facts = found.select("pivot", "node", "label", "central", "bits", "n", "lost", "most", "near", F.size("far").alias("own"), F.when(F.col("near"), F.size("delta")).cast("long").alias("d"))
+    bits = " + ".join(f"bit_count(l.bits[{i}] ^ r.bits[{i}])" for i in range(SKETCH // 64))
+    can = f"l.label <> r.label and least(l.n, r.n) * 100 >= greatest(l.n, r.n) * {percent} and ({bits}) * {100 + percent} <= (l.n + r.n) * {100 - percent}"
 
     rare = _numbered(found.select("pivot", "node", F.explode("far").alias("e"))).join(facts, ["pivot", "node"])
     # Elements that no other member has come before those counted by ``place``.
     posted = rare.withColumn("spot", F.expr("place + own - common")).filter("near or spot <= lost + 1")
-    posted = materialise(posted.selectExpr("pivot", "node", "e", "label", "central", "n", "near", "own", "spot", "common - place as after"), "jaccard-posted")
+    posted = materialise(posted.selectExpr("pivot", "node", "e", "label", "central", "bits", "n", "near", "own", "spot", "common - place as after"), "jaccard-posted")
     # Similar sets of these sizes have ``both`` elements in common at least, so each lacks n - both at most: the first
     # element that two have in common is among so many and one, and enough others follow in both.
     both = f"ceil({percent} * (l.n + r.n) / {100 + percent})"
@@ -364,7 +399,7 @@ def _cross_pairs(buckets: DataFrame, pairs: DataFrame, roots: DataFrame, texts:
     next_to = close.filter("d <= most")
     touching = next_to.filter("not central").alias("l").join(next_to.alias("r"), F.expr(f"l.pivot = r.pivot and l.d + r.d <= least(l.most, r.most) and {fits}"))
     found = [x.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct() for x in (apart, beside, touching)]
-    return direct.unionByName(found[0]).unionByName(found[1]).unionByName(found[2]).distinct().join(pairs, ["a", "b"], "left_anti")
+    return direct.unionByName(centred).unionByName(found[0]).unionByName(found[1]).unionByName(found[2]).distinct().join(pairs, ["a", "b"], "left_anti")
 
 
 def join_components(

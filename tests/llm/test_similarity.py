@@ -64,6 +64,40 @@ def test_links_across_tasks_with_pivots_of_their_own(spark, monkeypatch, direct)
     assert got == want and 20 < len(set(want.values())) < 200
 
 
+def test_a_family_is_searched_once_and_only_for_pairs_that_can_be_similar(spark, monkeypatch):
+    rng, made = random.Random(22), {}
+
+    def write(df, label, materialise=ngram_jaccard.materialise):
+        made[label] = materialise(df, label)
+        return made[label]
+
+    monkeypatch.setattr(ngram_jaccard, "FLUSH", 2000)
+    monkeypatch.setattr(ngram_jaccard, "DIRECT", 0)
+    monkeypatch.setattr(ngram_jaccard, "materialise", write)
+    # Near copies of one text, most of them less alike than the limit: tasks have pivots of their own.
+    base = prose(rng, 120)
+    texts = [edited(rng, base, rng.randrange(1, 12)) for _ in range(300)]
+    sets = {i: shingles(t, 4) for i, t in enumerate(texts)}
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    want = components(sets, lambda a, b: (a, b) in links)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(12)
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.join_components(df, shingle_words=4, percent=85).collect()}
+    assert got == want and len(set(want.values())) > 100
+    open_ = made["jaccard-open"]
+    assert open_.select("pivot").distinct().count() > 4
+    counts = (made["jaccard-differences"].count(), open_.select("node").distinct().count(), made["jaccard-cross"].count(), len(links))
+    assert counts[0] <= 1.2 * counts[1] and counts[2] <= 2 * counts[3] + 300, counts
+
+
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(5)
+    for n in [1, 10, 100, 3000]:
+        a, b = (np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for _ in range(2))
+        b = np.union1d(a[n // 5 :], b[: n // 5])
+        bits = int(np.bitwise_count((ngram_jaccard.sketch(a) ^ ngram_jaccard.sketch(b)).view(np.uint64)).sum())
+        assert bits <= len(np.setxor1d(a, b)) and (bits > 0) == (n > 5) and len(ngram_jaccard.sketch(a)) * 64 == ngram_jaccard.SKETCH
+
+
 def test_every_near_pair_shares_a_signature():
     rng = np.random.default_rng(4)
     bands = ngram_jaccard.Bands(85)

@@ -154,7 +154,7 @@ def _links(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of line keys that pass the edit check; ``found`` has the lines' texts, several times if they repeat."""
     wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "line-wanted")
     # The comparison is always true; it lets the optimizer filter the scan of the lines by the wanted keys.
-    texts = found.select("key", "norm").join(wanted.filter("key is not null"), "key", "left_semi").groupBy("key").agg(F.max("norm").alias("norm"))
+    texts = found.select("key", "norm").join(wanted.filter(F.col("key") >= F.lit(-(1 << 63))), "key", "left_semi").groupBy("key").agg(F.max("norm").alias("norm"))
     texts = materialise(texts, "line-texts")
     joined = pairs.join(texts.select(F.col("key").alias("a"), F.col("norm").alias("na")), "a").join(texts.select(F.col("key").alias("b"), F.col("norm").alias("nb")), "b")
     return materialise(joined.filter(similar_lines(F.col("na"), F.col("nb"), percent)).select("a", "b"), "line-links")

@@ -292,6 +292,31 @@ def test_a_family_of_lines_is_one_group(spark):
     assert got == want and len(got) > 390
 
 
+def test_texts_of_lines_are_filtered_before_their_shuffle(spark, monkeypatch):
+    plans = []
+
+    def write(df, label, materialise=line_dedup.materialise):
+        if label == "line-texts":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return materialise(df, label)
+
+    def scans(session, filter_scans=line_dedup.filter_scans):
+        filter_scans(session)
+        session.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1b")
+
+    monkeypatch.setattr(line_dedup, "materialise", write)
+    monkeypatch.setattr(line_dedup, "filter_scans", scans)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = line_rows(7)
+        got = {(r.doc_id, p) for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() for p in r.removed}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == removed_of(groups_of_lines(rows, by_blocks=True))
+    assert plans and all("might_contain" in x or "bloomfilter" in x.lower() for x in plans)
+
+
 def test_best_passage_is_the_least_edit_distance():
     rng = np.random.default_rng(2)
     for _ in range(60):

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,18 @@ def filter_scans(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "64m")
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written meanwhile drop their shuffle files at once, and not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, True)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; where that is unset, one in the warehouse, or a temporary one if Spark runs on this machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -21,7 +21,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.common import filter_scans, materialise
+from lamella.llm.common import filter_scans, materialise, shuffles_dropped
 from lamella.llm.components import connected_components
 
 #: Words of at least so many characters are a line's features; all words, where it has none.
@@ -39,8 +39,10 @@ _ONES = sum(1 << LANE * i for i in range(LANES))
 #: A word is a large part of a short line, whose reach is wider.
 REACH, SHORT_REACH, SHORT_SIZE, MOST_VOTES = 15, 22, 100, (1 << (LANE - 1)) - 1
 MOST_SIZE = 2 * MOST_VOTES
-#: Half widths of the bands in which the edit distance is tried before the whole allowance.
-BANDS = (24, 80)
+#: Beginnings of so many allowances are compared before whole lines: those of unrelated lines already differ by more.
+BEGINNING = 1.5
+#: Allowances from which lines that are likely to be similar have their beginnings compared, too.
+LONG = 80
 #: Words that an alignment of words looks ahead.
 AHEAD = 4
 
@@ -132,32 +134,46 @@ def _aligned_cost(a: Column, b: Column) -> Column:
     return F.aggregate(a, first, step, lambda s: s["cost"] + F.greatest(s["gap"], length_of(F.slice(b, s["next"], F.size(b)))))
 
 
-def similar_lines(a: Column, b: Column, percent: int) -> Column:
+def _begin_apart(a: Column, b: Column, most: Column) -> Column:
+    """Whether the beginnings of two lines show an edit distance over ``most``.
+
+    Both are cut where equal lengths are left. Edits that leave the longer line
+    cut d characters from there cost at least d after the cut, so they cost no
+    more in all than those that end at the cut on both sides.
+    """
+    first = F.length(a) <= F.length(b)
+    short, long = F.when(first, a).otherwise(b), F.when(first, b).otherwise(a)
+    upto = F.ceil(most * BEGINNING).cast("int")
+    return F.call_function("levenshtein", F.substring(short, F.lit(1), upto), F.substring(long, F.lit(1), upto + F.length(long) - F.length(short)), most) < 0
+
+
+def similar_lines(a: Column, b: Column, percent: int, likely: bool = True) -> Column:
     """Edit distance at most (100 - percent) % of the longer line, for lines with words parted by single spaces.
 
-    Alignments of words, from either side, bound the distance and mostly settle
-    it; else it is worked out, in narrow bands first.
+    Of lines that are ``likely`` similar, alignments of words, from either side,
+    bound the distance and mostly settle it. Of others, the beginnings mostly
+    do. Else the distance is worked out.
     """
     most = F.floor(F.greatest(F.length(a), F.length(b)) * (100 - percent) / 100).cast("int")
 
     def bound(x: Column, y: Column) -> Column:
         return _given(lambda s: _aligned_cost(s["x"], s["y"]), x=F.split(x, " "), y=F.split(y, " "))
 
-    out = F.when(bound(a, b) <= most, True).when(bound(b, a) <= most, True)
-    for band in BANDS:
-        near = F.call_function("levenshtein", a, b, F.least(most, F.lit(band))) >= 0
-        out = out.when(near, True).when(most <= band, False)
+    if likely:
+        out = F.when(bound(a, b) <= most, True).when(bound(b, a) <= most, True).when((most > LONG) & _begin_apart(a, b, most), False)
+    else:
+        out = F.when(_begin_apart(a, b, most), False)
     return out.otherwise(F.call_function("levenshtein", a, b, most) >= 0)
 
 
-def _links(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of line keys that pass the edit check; ``found`` has the lines' texts, several times if they repeat."""
+def _links(pairs: DataFrame, found: DataFrame, percent: int, likely: bool = True) -> DataFrame:
+    """Those of the pairs (a, b) of line keys that pass the edit check, as most do if ``likely``; ``found`` has the lines' texts, several times if they repeat."""
     wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "line-wanted")
     # The comparison is always true; it lets the optimizer filter the scan of the lines by the wanted keys.
     texts = found.select("key", "norm").join(wanted.filter(F.col("key") >= F.lit(-(1 << 63))), "key", "left_semi").groupBy("key").agg(F.max("norm").alias("norm"))
     texts = materialise(texts, "line-texts")
     joined = pairs.join(texts.select(F.col("key").alias("a"), F.col("norm").alias("na")), "a").join(texts.select(F.col("key").alias("b"), F.col("norm").alias("nb")), "b")
-    return materialise(joined.filter(similar_lines(F.col("na"), F.col("nb"), percent)).select("a", "b"), "line-links")
+    return materialise(joined.filter(similar_lines(F.col("na"), F.col("nb"), percent, likely)).select("a", "b"), "line-links")
 
 
 def line_groups(found: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
@@ -177,8 +193,7 @@ def line_groups(found: DataFrame, signatures: DataFrame, percent: int) -> DataFr
     star = members.select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
     sides = star.join(facts.select(F.col("key").alias("a"), F.struct("size", "simhash").alias("x")), "a").join(facts.select(F.col("key").alias("b"), F.struct("size", "simhash").alias("y")), "b")
     tried = materialise(sides.filter(near_enough("x", "y", percent)).select("a", "b"), "line-pairs")
-    links = _links(tried, found, percent)
-    roots = connected_components(links)
+    roots = connected_components(_links(tried, found, percent))
     several = members.groupBy("bucket").agg(F.count("*").alias("others")).filter("others > 1").select("bucket")
     others = materialise(members.select("bucket", "key").join(several, "bucket"), "line-others")
     for last in (False, True):
@@ -192,13 +207,22 @@ def line_groups(found: DataFrame, signatures: DataFrame, percent: int) -> DataFr
         pairs = both.select(F.least("l.key", "r.key").alias("a"), F.greatest("l.key", "r.key").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "line-pairs")
         tried = tried.unionByName(pairs)
-        more = _links(pairs, found, percent)
+        more = _links(pairs, found, percent, likely=False)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = connected_components(links)
+            roots = _merged(roots, more)
     return roots
 
 
+def _merged(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) of the components that ``more`` links join; only the roots of those are searched again."""
+    ends = more
+    for side in ("a", "b"):
+        ends = ends.join(roots, F.col(side) == F.col("node"), "left").withColumn(side, F.coalesce("root", side)).select("a", "b")
+    moved = connected_components(ends)
+    now = moved.select(F.col("node").alias("root"), F.col("root").alias("least"))
+    return materialise(roots.join(now, "root", "left").select("node", F.coalesce("least", "root").alias("root")).unionByName(moved), "line-roots")
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least_words: int = 5) -> DataFrame:
     """(id, removed, kept_in): for each document that loses lines, their places and the documents that keep them.
 
@@ -213,11 +237,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     filter_scans(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = materialise(_occurrences(rows, least_words), "lines")
-    lines = found.groupBy("key").agg(F.max("norm").alias("norm"))
-    groups = line_groups(found, materialise(_signatures(lines), "line-signatures"), percent)
-    placed = found.select("id", "pos", "key").join(groups, F.col("key") == F.col("node"), "left").select("id", "pos", F.coalesce("root", "key").alias("label"))
-    placed = materialise(placed, "line-places")
+    with shuffles_dropped(docs.sparkSession):
+        found = materialise(_occurrences(rows, least_words), "lines")
+        lines = found.groupBy("key").agg(F.max("norm").alias("norm"))
+        groups = line_groups(found, materialise(_signatures(lines), "line-signatures"), percent)
+        placed = found.select("id", "pos", "key").join(groups, F.col("key") == F.col("node"), "left").select("id", "pos", F.coalesce("root", "key").alias("label"))
+        placed = materialise(placed, "line-places")
     several = placed.groupBy("label").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("label", "first")
     gone = placed.join(several, "label").filter("id <> first.id or pos <> first.pos").select("id", "pos", F.col("first.id").alias("kept"))
     return gone.groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("removed"), F.sort_array(F.collect_set("kept")).alias("kept_in")).withColumnRenamed("id", id_col)

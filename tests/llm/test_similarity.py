@@ -317,6 +317,45 @@ def test_texts_of_lines_are_filtered_before_their_shuffle(spark, monkeypatch):
     assert plans and all("might_contain" in x or "bloomfilter" in x.lower() for x in plans)
 
 
+def test_edit_check_is_plain_edit_distance_either_way(spark):
+    rng = random.Random(8)
+    pairs = [(x, y) for n in (3, 12, 60, 120) for _ in range(12) for x in [prose(rng, n)] for y in [edited(rng, x, n // 8), edited(rng, x, n // 4), prose(rng, n), f"{prose(rng, n // 6)} {x}", f"{x} {prose(rng, n // 6)}", x[n // 2 :]]]
+    pairs += [(y, x) for x, y in pairs] + [("", ""), ("", "a"), ("\u00e9" * 500, "e" * 500)]
+    want = [text_distance(x, y) <= max(len(x), len(y)) * 20 // 100 for x, y in pairs]
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pairs)], "i int, x string, y string")
+    for likely in (True, False):
+        got = df.select("i", line_dedup.similar_lines(F.col("x"), F.col("y"), 80, likely).alias("ok")).orderBy("i").collect()
+        assert [r.ok for r in got] == want
+    assert 100 < sum(want) < len(want) - 100
+
+
+def test_later_links_merge_components(spark):
+    roots = spark.createDataFrame([(5, 1), (6, 1), (7, 2), (9, 3)], "node long, root long")
+    more = spark.createDataFrame([(6, 7), (4, 9), (10, 11)], "a long, b long")
+    got = {(r.node, r.root) for r in line_dedup._merged(roots, more).collect()}
+    assert got == {(5, 1), (6, 1), (7, 1), (2, 1), (9, 3), (4, 3), (11, 10)}
+
+
+def test_line_dedup_drops_shuffles_as_it_goes(spark, monkeypatch):
+    left, name = [], "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+
+    def shuffles():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(",").split(",")
+        return {x for x in files if x.rsplit("/", 1)[-1].startswith("shuffle_")}
+
+    def write(df, label, materialise=line_dedup.materialise):
+        began = shuffles()
+        out = materialise(df, label)
+        left.append(len(shuffles() - began))
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialise", write)
+    gone = line_dedup.removed_lines(spark.createDataFrame(line_rows(1), "doc_id long, text string"))
+    assert left and not any(left) and spark.conf.get(name) == before
+    assert gone.collect() == gone.collect() != []
+
+
 def test_best_passage_is_the_least_edit_distance():
     rng = np.random.default_rng(2)
     for _ in range(60):

@@ -40,9 +40,14 @@ _ONES = sum(1 << LANE * i for i in range(LANES))
 REACH, SHORT_REACH, SHORT_SIZE, MOST_VOTES = 15, 22, 100, (1 << (LANE - 1)) - 1
 MOST_SIZE = 2 * MOST_VOTES
 #: Beginnings of so many allowances are compared before whole lines: those of unrelated lines already differ by more.
-BEGINNING = 1.5
-#: Allowances from which lines that are likely to be similar have their beginnings compared, too.
-LONG = 80
+BEGINNINGS = (1.5, 2.25)
+#: Allowances over which lines that are likely to be similar have their beginnings compared, too, and over which letters are
+#: counted, as whole lines' edit distances take time with the square of the length.
+LONG, LONGER = 80, 200
+#: The characters that are counted one by one.
+LETTERS = "etaonrishdlfcmugypwbvkjxqz "
+#: Allowances over which pieces of so many characters are compared.
+PIECES_OVER, PIECE = 800, 256
 #: Words that an alignment of words looks ahead.
 AHEAD = 4
 
@@ -134,7 +139,39 @@ def _aligned_cost(a: Column, b: Column) -> Column:
     return F.aggregate(a, first, step, lambda s: s["cost"] + F.greatest(s["gap"], length_of(F.slice(b, s["next"], F.size(b)))))
 
 
-def _begin_apart(a: Column, b: Column, most: Column) -> Column:
+def _letters_apart(a: Column, b: Column, most: Column) -> Column:
+    """Whether the counts of letters show an edit distance over ``most``; characters but LETTERS count together.
+
+    An edit takes away one character at most, and adds one at most. So the
+    distance is no less than the characters that one line has in excess of the
+    other, which are half of all differences of counts and of the lengths.
+    """
+    longer = F.length(a) - F.length(b)
+
+    def step(state: Column, letter: Column) -> Column:
+        def left(s: Column) -> Column:
+            return F.octet_length(s) - F.octet_length(F.replace(s, letter, F.lit("")))
+
+        return _given(lambda x: F.struct((state["rest"] - x["d"]).alias("rest"), (state["apart"] + F.abs(x["d"])).alias("apart")), d=left(a) - left(b))
+
+    first = F.struct(longer.alias("rest"), F.lit(0).alias("apart"))
+    return F.aggregate(F.array(*(F.lit(c) for c in LETTERS)), first, step, lambda s: s["apart"] + F.abs(s["rest"]) + F.abs(longer) > most * 2)
+
+
+def _pieces_cost(a: Column, b: Column, in_step: bool) -> Column:
+    """At least the edit distance of two lines: the sum of those of their pieces, which are cut at the same places, or in proportion if ``in_step``."""
+    n = F.ceil(F.greatest(F.length(a), F.length(b), F.lit(1)) / PIECE).cast("int")
+
+    def part(s: Column, i: Column) -> Column:
+        def cut(i: Column) -> Column:
+            return F.floor(F.length(s).cast("long") * i / n).cast("int") if in_step else i * PIECE
+
+        return F.substring(s, cut(i) + 1, cut(i + 1) - cut(i))
+
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda sum_, i: sum_ + F.levenshtein(part(a, i), part(b, i)))
+
+
+def _begin_apart(a: Column, b: Column, most: Column, allowances: float) -> Column:
     """Whether the beginnings of two lines show an edit distance over ``most``.
 
     Both are cut where equal lengths are left. Edits that leave the longer line
@@ -143,7 +180,7 @@ def _begin_apart(a: Column, b: Column, most: Column) -> Column:
     """
     first = F.length(a) <= F.length(b)
     short, long = F.when(first, a).otherwise(b), F.when(first, b).otherwise(a)
-    upto = F.ceil(most * BEGINNING).cast("int")
+    upto = F.ceil(most * allowances).cast("int")
     return F.call_function("levenshtein", F.substring(short, F.lit(1), upto), F.substring(long, F.lit(1), upto + F.length(long) - F.length(short)), most) < 0
 
 
@@ -152,17 +189,22 @@ def similar_lines(a: Column, b: Column, percent: int, likely: bool = True) -> Co
 
     Of lines that are ``likely`` similar, alignments of words, from either side,
     bound the distance and mostly settle it. Of others, the beginnings mostly
-    do. Else the distance is worked out.
+    do, and of long lines counts of letters and distances of pieces. Else the
+    distance is worked out.
     """
     most = F.floor(F.greatest(F.length(a), F.length(b)) * (100 - percent) / 100).cast("int")
 
     def bound(x: Column, y: Column) -> Column:
         return _given(lambda s: _aligned_cost(s["x"], s["y"]), x=F.split(x, " "), y=F.split(y, " "))
 
+    out = F.when((most > LONGER) & _letters_apart(a, b, most), False)
     if likely:
-        out = F.when(bound(a, b) <= most, True).when(bound(b, a) <= most, True).when((most > LONG) & _begin_apart(a, b, most), False)
+        out = out.when(bound(a, b) <= most, True).when(bound(b, a) <= most, True).when((most > LONG) & _begin_apart(a, b, most, BEGINNINGS[0]), False)
     else:
-        out = F.when(_begin_apart(a, b, most), False)
+        for allowances in BEGINNINGS:
+            out = out.when(_begin_apart(a, b, most, allowances), False)
+    for in_step in (False, True):
+        out = out.when((most > PIECES_OVER) & (_pieces_cost(a, b, in_step) <= most), True)
     return out.otherwise(F.call_function("levenshtein", a, b, most) >= 0)
 
 

@@ -329,6 +329,27 @@ def test_edit_check_is_plain_edit_distance_either_way(spark):
     assert 100 < sum(want) < len(want) - 100
 
 
+def test_letters_and_pieces_bound_edit_distances(spark, monkeypatch):
+    """On short lines with low limits, as plain edit distances of long ones take too long here."""
+    rng = random.Random(9)
+    pairs = [(x, y) for n in (6, 25, 60) for _ in range(8) for x in [prose(rng, n)] for y in [edited(rng, x, n // 8), edited(rng, x, n // 4), prose(rng, n), f"{x} {prose(rng, n // 6)}", x.replace("e", "\u00e9"), "that " * n]]
+    pairs += [(y, x) for x, y in pairs] + [("", ""), ("", "a"), ("\u00e9" * 90, "e" * 90), ("in " * 900, "that " * 600)]
+    most = [max(len(x), len(y)) * 20 // 100 for x, y in pairs]
+    far = [text_distance(x, y) for x, y in pairs[:-1]] + [2400]
+    for name, low in (("LONGER", 0), ("PIECES_OVER", 0), ("PIECE", 24)):
+        monkeypatch.setattr(line_dedup, name, low)
+    df = spark.createDataFrame([(i, *p, k) for i, (p, k) in enumerate(zip(pairs, most))], "i int, x string, y string, most int")
+    x, y = F.col("x"), F.col("y")
+    costs = [line_dedup._pieces_cost(x, y, in_step).alias(f"c{in_step:d}") for in_step in (False, True)]
+    likely = [line_dedup.similar_lines(x, y, 80, likely).alias(f"s{likely:d}") for likely in (False, True)]
+    got = df.select("i", line_dedup._letters_apart(x, y, F.col("most")).alias("apart"), *costs, *likely).orderBy("i").collect()
+    for r, d, k in zip(got, far, most, strict=True):
+        assert min(r.c0, r.c1) >= d and not (r.apart and d <= k) and r.s0 == r.s1 == (d <= k)
+    # The bounds decide: lines of a repeated word are told from all others by letters, most edited lines are passed by pieces.
+    assert got[-1].apart and sum(r.apart for r in got) > 40
+    assert sum(min(r.c0, r.c1) <= k for r, k in zip(got, most)) > 0.7 * sum(d <= k for d, k in zip(far, most))
+
+
 def test_later_links_merge_components(spark):
     roots = spark.createDataFrame([(5, 1), (6, 1), (7, 2), (9, 3)], "node long, root long")
     more = spark.createDataFrame([(6, 7), (4, 9), (10, 11)], "a long, b long")
